@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 # The feed's columns, in their published order.
@@ -24,8 +26,26 @@ standardization_compound standardization_percentage display_name seo_indexable s
 KEY = ["merchant_id", "source_product_id", "source_variant_id"]
 
 
-def _fields(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "DOUBLE": T.DoubleType(),
+    "TIMESTAMP": T.TimestampType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+}
+
+
+def _fields(text: str) -> T.StructType:
+    """A schema from "name TYPE, ..." without needing a running session."""
+
+    def kind(name: str) -> T.DataType:
+        decimal = re.fullmatch(r"DECIMAL\((\d+),(\d+)\)", name)
+        return T.DecimalType(*map(int, decimal.groups())) if decimal else _TYPES[name]
+
+    columns = re.findall(r"(\w+) (DECIMAL\(\d+,\d+\)|[A-Z<>]+)", text)
+    return T.StructType([T.StructField(c, kind(t)) for c, t in columns])
 
 
 OFFERS = _fields(
