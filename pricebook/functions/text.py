@@ -215,3 +215,10 @@ def json_list_or_words(c: Column) -> Column:
     words = F.split(text(c), r"\s*[|;,]\s*")
     raw = F.coalesce(F.when(F.trim(text(c)).startswith("["), F.from_json(c, "array<string>")), words)
     return F.filter(F.transform(raw, lambda w: F.trim(w)), lambda w: w.isNotNull() & (w != ""))
+
+
+def json_value(value: Column) -> Column:
+    """A cell of a parsed JSON object back as JSON: objects, lists, numbers and booleans bare, text quoted."""
+    raw = value.rlike(r"^\s*[\[{]") | value.rlike(r"^-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$") | value.isin("true", "false")
+    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    return F.when(value.isNull(), "null").when(raw, value).otherwise(quoted)
