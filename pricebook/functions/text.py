@@ -35,8 +35,13 @@ def numeric(c: Column) -> Column:
 
 
 def half_up(c: Column, digits: int) -> Column:
-    """Round half away from zero on the decimal form of a double."""
-    return F.round(c.cast("double"), digits)
+    """Round half away from zero on the decimal form of a double.
+
+    Twelve decimals come first, so that a half that binary arithmetic left a hair
+    short (79.33324999999999) still counts as a half.
+    """
+    exact = F.round(c.cast("double").try_cast("decimal(38,12)"), digits).cast("double")
+    return F.coalesce(exact, F.round(c.cast("double"), digits))
 
 
 def plain_number(c: Column, digits: int = 4) -> Column:

@@ -271,9 +271,14 @@ def facets(rows: DataFrame) -> DataFrame:
     combos = rows.select("canonical_form", "ingredient_name", "merchant_slug", "merchant_name").distinct()
     entry = F.explode(
         F.array(
-            F.struct(F.lit("form").alias("facet"), F.col("canonical_form").alias("value"), F.col("canonical_form").alias("label")),
-            F.struct(F.lit("ingredient"), F.col("ingredient_name"), F.col("ingredient_name")),
-            F.struct(F.lit("merchant"), F.col("merchant_slug"), F.col("merchant_name")),
+            *[
+                F.struct(F.lit(facet).alias("facet"), F.col(value).alias("value"), F.col(label).alias("label"))
+                for facet, value, label in (
+                    ("form", "canonical_form", "canonical_form"),
+                    ("ingredient", "ingredient_name", "ingredient_name"),
+                    ("merchant", "merchant_slug", "merchant_name"),
+                )
+            ]
         )
     )
     return (
