@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .scan import matches
-from .text import ascii_lower, half_up
+from .text import ascii_lower, half_up, let
 
 # The grammar of an amount, the longest unit word first.
 _SPACE = r"\p{IsWhite_Space}*"
@@ -35,15 +35,18 @@ def _number(c: Column) -> Column:
 
 def canonical_unit(c: Column) -> Column:
     """AMT-3: mg, mcg, g, kg, IU or billion_cfu, else null."""
-    u = ascii_lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    return (
-        F.when(u.startswith("billion"), "billion_cfu")
-        .when(u == "iu", "IU")
-        .when(u.isin("mcg", "µg", "ug") | u.startswith("microgram"), "mcg")
-        .when((u == "mg") | u.startswith("milligram"), "mg")
-        .when((u == "kg") | u.startswith("kilogram"), "kg")
-        .when((u == "g") | u.startswith("gram"), "g")
-    )
+
+    def known(u: Column) -> Column:
+        return (
+            F.when(u.startswith("billion"), "billion_cfu")
+            .when(u == "iu", "IU")
+            .when(u.isin("mcg", "µg", "ug") | u.startswith("microgram"), "mcg")
+            .when((u == "mg") | u.startswith("milligram"), "mg")
+            .when((u == "kg") | u.startswith("kilogram"), "kg")
+            .when((u == "g") | u.startswith("gram"), "g")
+        )
+
+    return let(ascii_lower(F.regexp_replace(F.trim(c), r"\s+", " ")), known)
 
 
 def _mg_factor(unit: Column) -> Column:
@@ -105,11 +108,11 @@ def scan_packs(c: Column) -> Column:
 
 
 def _as_mg(a: Column) -> Column:
-    mg = convert_unit(a["value"], a["unit"], F.lit("mg"))
+    mass = a["unit"].isin(list(MG_PER))
     return F.struct(
-        F.coalesce(mg, a["value"]).alias("mg"),
+        F.when(mass, convert_unit(a["value"], a["unit"], F.lit("mg"))).otherwise(a["value"]).alias("mg"),
         F.when(a["unit"] == "kg", "g").otherwise(a["unit"]).alias("unit"),
-        F.when(mg.isNotNull(), "mass").otherwise(a["unit"]).alias("family"),
+        F.when(mass, "mass").otherwise(a["unit"]).alias("family"),
         a["value"].alias("value"),
     )
 
@@ -122,9 +125,12 @@ def amount_key(a: Column) -> Column:
 def distinct_amounts(amounts: Column) -> Column:
     """SET-3: one entry per distinct amount of :func:`scan_amounts`, in order of first mention."""
     folded = F.transform(amounts, lambda a: F.struct(a["value"], a["unit"], amount_key(_as_mg(a)).alias("key")))
-    keys = F.transform(folded, lambda a: a["key"])
-    firsts = F.filter(folded, lambda a, i: F.array_position(keys, a["key"]) == i + 1)
-    return F.transform(firsts, lambda a: F.struct(a["value"], a["unit"]))
+
+    def firsts(every: Column) -> Column:
+        keys = F.transform(every, lambda a: a["key"])
+        return F.filter(every, lambda a, i: F.array_position(keys, a["key"]) == i + 1)
+
+    return F.transform(let(folded, firsts), lambda a: F.struct(a["value"], a["unit"]))
 
 
 def amount_list(c: Column) -> Column:
@@ -151,15 +157,17 @@ def amount_list(c: Column) -> Column:
             (F.size(F.filter(units, lambda u: u != "")) > 0).alias("dosed"),
         )
 
+    def all_amounts(lists: Column) -> Column:
+        listed = F.filter(F.flatten(F.transform(lists, lambda s: s["items"])), lambda a: a["unit"].isNotNull())
+        single = F.filter(
+            scan_amounts(c),
+            lambda a: ~F.exists(lists, lambda s: (a["at"] >= s["start"]) & (a["at"] < s["stop"]))
+            & ~F.substring(c, a["at"] + a["len"] + 1, F.lit(2147483647)).rlike(r"(?i)^\s*each(?![A-Za-z0-9_])"),
+        )
+        return F.concat(listed, F.transform(single, lambda a: F.struct(a["value"], a["unit"])))
+
     lists = F.filter(F.transform(matches(c, SLASH_LIST), read_list), lambda s: s["dosed"])
-    listed = F.filter(F.flatten(F.transform(lists, lambda s: s["items"])), lambda a: a["unit"].isNotNull())
-    single = F.filter(
-        scan_amounts(c),
-        lambda a: ~F.exists(lists, lambda s: (a["at"] >= s["start"]) & (a["at"] < s["stop"]))
-        & ~F.substring(c, a["at"] + a["len"] + 1, F.lit(2147483647)).rlike(r"(?i)^\s*each(?![A-Za-z0-9_])"),
-    )
-    alone = F.transform(single, lambda a: F.struct(a["value"], a["unit"]))
-    return F.transform(F.concat(listed, alone), _as_mg)
+    return F.transform(let(lists, all_amounts), lambda a: _as_mg(a))
 
 
 def amounts_within(inner: Column, outer: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .scan import any_of, around, matches
-from .text import WORD_END, ascii_lower, numeric
+from .text import WORD_END, ascii_lower, let, numeric
 
 # How numbers, units and molar masses are written on listings.
 NUMBER = r"(?<![\d.,])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
@@ -48,9 +48,11 @@ def _best_dose(c: Column, units: str) -> Column:
 
     def judge(m: Column) -> Column:
         window = around(lower, m["at"], 25, 50)
-        score = F.when(window.rlike(any_of(PER_DOSE_TERMS)), 10).otherwise(0) - F.when(
-            window.rlike(any_of(CONTAINER_TERMS)), 10
-        ).otherwise(0)
+        score = let(
+            window,
+            lambda w: F.when(w.rlike(any_of(PER_DOSE_TERMS)), 10).otherwise(0)
+            - F.when(w.rlike(any_of(CONTAINER_TERMS)), 10).otherwise(0),
+        )
         lead = F.substring(lower, F.greatest(m["at"] - 20, F.lit(0)) + 1, F.least(m["at"], F.lit(20)))
         return F.struct(
             score.alias("score"),
@@ -65,8 +67,10 @@ def _best_dose(c: Column, units: str) -> Column:
         found,
         lambda x: (x["score"] > -5) & ~x["molar"] & ~((ascii_lower(x["word"]) == "g") & (x["value"] > 1000)),
     )
-    best = F.array_max(plausible)
-    return F.when(best.isNotNull(), F.struct(best["value"].alias("value"), _unit(best["word"]).alias("unit")))
+    return let(
+        F.array_max(plausible),
+        lambda best: F.when(best.isNotNull(), F.struct(best["value"].alias("value"), let(best["word"], _unit).alias("unit"))),
+    )
 
 
 def extract_strength(c: Column) -> Column:
@@ -74,14 +78,17 @@ def extract_strength(c: Column) -> Column:
 
     Billions of CFU come first, then amounts with a short unit, then units spelled out.
     """
-    billions = F.nullif(F.regexp_extract(c, BILLION_CFU, 1), F.lit("")).cast("double")
-    cfu = F.when(billions.isNotNull(), F.struct(billions.alias("value"), F.lit("billion_cfu").alias("unit")))
+    cfu = let(
+        F.regexp_extract(c, BILLION_CFU, 1),
+        lambda n: F.when(n != "", F.struct(n.cast("double").alias("value"), F.lit("billion_cfu").alias("unit"))),
+    )
     return F.coalesce(cfu, _best_dose(c, SHORT_UNITS), _best_dose(c, LONG_UNITS))
 
 
 def strength_of(variant_title: Column, whole_text: Column) -> Column:
     """TXT-7: the variant title's own strength wins over the whole text's."""
-    return F.coalesce(extract_strength(variant_title), extract_strength(whole_text))
+    texts = F.array(variant_title, whole_text)
+    return F.get(F.filter(F.transform(texts, lambda s: extract_strength(s)), lambda x: x.isNotNull()), F.lit(0))
 
 
 # Words that follow a count of doses.
@@ -101,8 +108,8 @@ def extract_count(c: Column) -> Column:
         F.regexp_extract_all(c, F.lit(rf"(?i)(\d+)[\s\-]*(?:{VESSELS}){WORD_END}"), F.lit(1)),
         lambda n: n.try_cast("bigint"),
     )
-    times = F.regexp_extract(c, TIMES_COUNT, 1).try_cast("bigint")
-    return F.coalesce(F.get(F.filter(before_word, ok), F.lit(0)), F.when(ok(times), times)).cast("int")
+    times = F.array(F.regexp_extract(c, TIMES_COUNT, 1).try_cast("bigint"))
+    return F.get(F.filter(F.concat(before_word, times), ok), F.lit(0)).cast("int")
 
 
 def dose_number(c: Column) -> Column:

@@ -25,7 +25,7 @@ def matches(c: Column, pattern: str) -> Column:
             F.when(acc["odd"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(nothing)
+    return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), nothing)
 
 
 def around(c: Column, at: Column, before: int, width) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html.entities
 import json
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -13,6 +14,11 @@ WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times but compute it once: it is bound as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only, leaving every other character alone."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -40,8 +46,11 @@ def half_up(c: Column, digits: int) -> Column:
     Twelve decimals come first, so that a half that binary arithmetic left a hair
     short (79.33324999999999) still counts as a half.
     """
-    exact = F.round(c.cast("double").try_cast("decimal(38,12)"), digits).cast("double")
-    return F.coalesce(exact, F.round(c.cast("double"), digits))
+
+    def rounded(v: Column) -> Column:
+        return F.coalesce(F.round(v.try_cast("decimal(38,12)"), digits).cast("double"), F.round(v, digits))
+
+    return let(c.cast("double"), rounded)
 
 
 def plain_number(c: Column, digits: int = 4) -> Column:
@@ -83,16 +92,18 @@ def _entity_char(body: Column, names: Column) -> Column:
 
 
 def _decode_once(c: Column) -> Column:
-    names = F.from_json(F.lit(_named_entities()), "map<string,string>")
     mark = "\u0001"
-    pieces = F.split(
-        F.regexp_replace(c, r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", f"{mark}$1{mark}"), mark, -1
-    )
-    decoded = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 0, p).otherwise(F.coalesce(_entity_char(p, names), F.concat(F.lit("&"), p, F.lit(";")))),
-    )
-    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
+
+    def spell(piece: Column, i: Column) -> Column:
+        names = F.from_json(F.lit(_named_entities()), "map<string,string>")
+        char = F.coalesce(_entity_char(piece, names), F.concat(F.lit("&"), piece, F.lit(";")))
+        return F.when(i % 2 == 0, piece).otherwise(char)
+
+    def decode(s: Column) -> Column:
+        marked = F.regexp_replace(s, r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", f"{mark}$1{mark}")
+        return F.when(s.contains("&"), F.array_join(F.transform(F.split(marked, mark, -1), spell), "")).otherwise(s)
+
+    return let(c, decode)
 
 
 def decode_entities(c: Column) -> Column:
@@ -123,7 +134,7 @@ def normalize_title(c: Column) -> Column:
 def title_key(c: Column) -> Column:
     """TXT-3: the memory key of a title; empty when too short to mean anything."""
     key = F.trim(F.substring(normalize_title(c), 1, 191))
-    return F.when(F.length(key) >= 3, key).otherwise("")
+    return let(key, lambda k: F.when(F.length(k) >= 3, k).otherwise(""))
 
 
 def search_text(*parts: Column) -> Column:

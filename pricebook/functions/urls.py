@@ -18,8 +18,12 @@ def percent_encode(c: Column) -> Column:
     return F.replace(F.replace(s, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
+
+
 def url_host(c: Column) -> Column:
-    return F.try_parse_url(c, F.lit("HOST"))
+    """The host, empty when there is none; unlike a strict parser it accepts unescaped text further on."""
+    return F.regexp_extract(c, _SCHEME + r"(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 2)
 
 
 def url_path(c: Column) -> Column:
@@ -128,7 +132,7 @@ def rewrite_url(c: Column, rule: dict) -> Column:
     wanted = rule.get("from_host") or ""
     if not wanted:
         return c
-    scheme = F.coalesce(F.try_parse_url(c, F.lit("PROTOCOL")), F.lit("https"))
+    scheme = F.regexp_extract(c, _SCHEME, 1)
     host = F.lit(rule["to_host"]) if rule.get("to_host") else url_host(c)
     path = url_path(c)
     prefix = rule.get("from_path_prefix") or ""

@@ -25,6 +25,7 @@ from ..functions.text import (
     text,
     title_key,
 )
+from ..session import materialize
 
 # The tiers in cascade order, with the confidence each one gives.
 TIERS = [
@@ -100,6 +101,8 @@ def normalize_offers(df: DataFrame, ingredients: DataFrame, id_col: str = "id")
     staged = staged.withColumn(
         "_search", search_text(*[F.col(c) for c in ("variant_title", "product_title", "description", "_attributes")])
     ).withColumn("_variant", decode_entities(F.col("variant_title")))
+    # The search text is read three times from here on, so it is written once.
+    staged = materialize(staged, "search")
     staged = staged.withColumns(
         {
             "_strength": strength_of(F.col("_variant"), F.col("_search")),
@@ -109,15 +112,15 @@ def normalize_offers(df: DataFrame, ingredients: DataFrame, id_col: str = "id")
         }
     )
     staged = detect_ingredient(staged, ingredients, "_search", id_col)
-    return staged.withColumns(
+    read = staged.withColumns(
         {
             "found_strength": F.col("_strength.value"),
             "found_unit": F.col("_strength.unit"),
             "found_pct": F.col("_standard.pct"),
         }
-    ).withColumnRenamed("detected_ingredient_id", "found_ingredient_id").drop(
-        "_attributes", "_search", "_variant", "_strength", "_standard"
-    )
+    ).withColumnRenamed("detected_ingredient_id", "found_ingredient_id")
+    # Written, so that a later filter on a found value does not run the text rules again.
+    return materialize(read.drop("_attributes", "_search", "_variant", "_strength", "_standard"), "read")
 
 
 def live_peers(offers: DataFrame, canonicals: DataFrame) -> DataFrame:
@@ -296,8 +299,13 @@ def match_cascade(df: DataFrame, offers: DataFrame, memory: DataFrame, canonical
     The order of the tiers decides, not the confidence.  ``df`` comes from
     :func:`normalize_offers`; ``offers`` is the table as of the start of the run.
     """
-    probe = with_title_keys(df)
-    peers = with_title_keys(live_peers(offers, canonicals))
+    # The text rules ran once; every tier reads their results, so both sides are written first.
+    found = ["found_ingredient_id", "found_form", "found_strength", "found_servings", "found_pct"]
+    probe = materialize(with_title_keys(df).select("id", "merchant_id", "barcode", "brand", "sku", "norm_title", "title_key", *found), "probe")
+    peers = with_title_keys(live_peers(offers, canonicals)).select(
+        "id", "canonical_product_id", "barcode", "brand", "sku", "norm_title", "strength_per_serving", "servings_per_container"
+    )
+    peers = materialize(peers, "peers")
     hits = [
         tier_barcode(probe, peers),
         tier_brand_sku(probe, peers),

@@ -9,7 +9,8 @@ from pricebook.functions import amounts as a, attributes as at, dose, money, sto
 from .base import query
 from .data import Data
 
-TITLE = F.col("product_title")
+def _title():
+    return F.col("product_title")
 
 
 def listings(spark, sf):
@@ -18,35 +19,35 @@ def listings(spark, sf):
 
 @query("normalize_title", "SELECT id, known_title AS title, CASE WHEN length(known_title) >= 3 THEN known_title ELSE '' END AS title_key FROM v_listings")
 def normalize_title(spark, sf):
-    return listings(spark, sf).select("id", t.normalize_title(TITLE).alias("title"), t.title_key(TITLE).alias("title_key"))
+    return listings(spark, sf).select("id", t.normalize_title(_title()).alias("title"), t.title_key(_title()).alias("title_key"))
 
 
 @query("extract_strength", "SELECT id, known_strength AS value, known_unit AS unit FROM v_listings")
 def extract_strength(spark, sf):
-    s = listings(spark, sf).select("id", dose.extract_strength(t.decode_entities(TITLE)).alias("s"))
+    s = listings(spark, sf).select("id", dose.extract_strength(t.decode_entities(_title())).alias("s"))
     return s.select("id", "s.value", "s.unit")
 
 
 @query("strength_of", "SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 7 ELSE known_strength END AS DOUBLE) AS value, CASE WHEN id % 2 = 0 THEN 'g' ELSE known_unit END AS unit FROM v_listings")
 def strength_of(spark, sf):
     variant = F.when(F.col("id") % 2 == 0, "Tub / 7 g").otherwise("Red")
-    s = listings(spark, sf).select("id", dose.strength_of(variant, t.search_text(variant, TITLE)).alias("s"))
+    s = listings(spark, sf).select("id", dose.strength_of(variant, t.search_text(variant, _title())).alias("s"))
     return s.select("id", "s.value", "s.unit")
 
 
 @query("extract_count", "SELECT id, known_count AS cnt FROM v_listings")
 def extract_count(spark, sf):
-    return listings(spark, sf).select("id", dose.extract_count(t.decode_entities(TITLE)).alias("cnt"))
+    return listings(spark, sf).select("id", dose.extract_count(t.decode_entities(_title())).alias("cnt"))
 
 
 @query("extract_form", "SELECT id, known_form AS form FROM v_listings")
 def extract_form(spark, sf):
-    return listings(spark, sf).select("id", t.extract_form(TITLE).alias("form"))
+    return listings(spark, sf).select("id", t.extract_form(_title()).alias("form"))
 
 
 @query("extract_standardization", "SELECT id, known_pct AS pct, CASE WHEN known_pct IS NOT NULL THEN 'saponins' END AS compound FROM v_listings")
 def extract_standardization(spark, sf):
-    return listings(spark, sf).select("id", t.extract_standardization(TITLE).alias("s")).select("id", "s.pct", "s.compound")
+    return listings(spark, sf).select("id", t.extract_standardization(_title()).alias("s")).select("id", "s.pct", "s.compound")
 
 
 AMOUNTS = """CASE style WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 7 THEN 2 ELSE 1 END AS n,
@@ -55,7 +56,7 @@ CASE style WHEN 1 THEN size + 1000 + 12000 WHEN 2 THEN CAST(size AS DOUBLE) / 10
 
 @query("scan_amounts", f"SELECT id, {AMOUNTS} AS mg FROM v_listings WHERE style <> 4")
 def scan_amounts(spark, sf):
-    found = listings(spark, sf).where("style <> 4").select("id", a.scan_amounts(t.decode_entities(TITLE)).alias("f"))
+    found = listings(spark, sf).where("style <> 4").select("id", a.scan_amounts(t.decode_entities(_title())).alias("f"))
     mg = F.aggregate(F.transform("f", lambda x: a.convert_unit(x["value"], x["unit"], F.lit("mg"))), F.lit(0.0), lambda s, v: s + v)
     return found.select("id", F.size("f").alias("n"), t.half_up(mg, 6).alias("mg"))
 
@@ -66,19 +67,19 @@ def scan_amounts(spark, sf):
 )
 def distinct_amounts(spark, sf):
     # The title twice, so that every amount has a duplicate.
-    twice = F.concat_ws(" | ", t.decode_entities(TITLE), t.decode_entities(TITLE))
+    twice = F.concat_ws(" | ", t.decode_entities(_title()), t.decode_entities(_title()))
     d = listings(spark, sf).select("id", a.distinct_amounts(a.scan_amounts(twice)).alias("d"))
     return d.select("id", F.size("d").alias("n"), F.get("d", F.lit(0))["unit"].alias("unit"))
 
 
 @query("scan_packs", "SELECT id, CASE WHEN style = 5 THEN CAST(size * 10 AS DOUBLE) END AS mg FROM v_listings")
 def scan_packs(spark, sf):
-    return listings(spark, sf).select("id", F.get(a.scan_packs(TITLE), F.lit(0))["value"].alias("mg"))
+    return listings(spark, sf).select("id", F.get(a.scan_packs(_title()), F.lit(0))["value"].alias("mg"))
 
 
 @query("pack_counts", "SELECT id, CASE WHEN style = 5 THEN '10' ELSE '' END AS counts FROM v_listings")
 def pack_counts(spark, sf):
-    return listings(spark, sf).select("id", F.array_join(a.pack_counts(TITLE).cast("array<string>"), "|").alias("counts"))
+    return listings(spark, sf).select("id", F.array_join(a.pack_counts(_title()).cast("array<string>"), "|").alias("counts"))
 
 
 @query(
@@ -167,7 +168,7 @@ def decode(spark, sf):
 
 @query("search_text", "SELECT id, concat(product_title, ' | Plain text. | ', p_name) AS found FROM v_listings WHERE style <> 2")
 def search_text(spark, sf):
-    cols = [F.col("variant_title"), TITLE, F.col("description"), F.col("p_name")]
+    cols = [F.col("variant_title"), _title(), F.col("description"), F.col("p_name")]
     return listings(spark, sf).where("style <> 2").select("id", t.search_text(*cols).alias("found"))
 
 
