@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html.entities
 import json
 import string
@@ -59,6 +60,7 @@ def plain_number(c: Column, digits: int = 4) -> Column:
     return F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
 
 
+@functools.cache
 def _named_entities() -> str:
     """Entity names and their characters as one JSON object.
 

@@ -20,6 +20,8 @@ def build_session(app: str = "pricebook", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call sites are captured per expression; text rules have thousands.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     for k, v in options.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricebook.operators import match as m, memory as mem, totals as tot
-from pricebook.operators.lifecycle import drop_suppressed  # noqa: F401
+from pricebook.session import materialize
 
 from .base import ROUND, query
 from .data import Data
@@ -202,10 +202,6 @@ def rekey(spark, sf):
     return mem.rekey_memory(old).select("merchant_id", "title_key", "rekeyed")
 
 
-REMATCH_CANDIDATES = """SELECT o.id, arg_min(b.canonical_product_id, b.id) AS by_barcode, arg_min(s.canonical_product_id, s.id) AS by_sku
-FROM v_offers o LEFT JOIN v_offers b ON 1 = 0 LEFT JOIN v_offers s ON 1 = 0 GROUP BY 1"""
-
-
 @query(
     "rematch",
     """, queue AS (SELECT o.*, p.p_name AS norm_title FROM v_offers o JOIN part p ON p.p_partkey = o.partkey WHERE o.visibility_status IN ('pending', 'needs_review') AND o.canonical_product_id IS NULL),
@@ -304,9 +300,6 @@ def source_labels(spark, sf):
     return Data(spark, sf).offers.select("id", tot.source_label(F.col("total_active_source")).alias("label"))
 
 
-VIALS = """SELECT *, concat(p_size, 'mg vial') AS t FROM part"""
-
-
 def vial_offers(d: Data):
     """Queue offers of single vials: the title states the amount and some variants share a product."""
     size = F.col("strength_per_serving")
@@ -341,7 +334,7 @@ FROM ({FILLABLE}) x WHERE visibility_status IN ('pending', 'needs_review') AND t
 def fill_totals(spark, sf):
     d = Data(spark, sf)
     rates = d.ingredients
-    out = tot.fill_totals(vial_offers(d), vial_raw(d), rates=rates)
+    out = tot.fill_totals(materialize(vial_offers(d), "offers"), materialize(vial_raw(d), "raw"), rates=rates)
     return out.select("id", F.col("total_active_per_container").alias("total"), F.col("strength_unit").alias("unit"), F.col("total_active_source").alias("source"))
 
 
@@ -353,7 +346,8 @@ UNION ALL SELECT 'cleared', id FROM v_offers WHERE total_active_source LIKE 'ble
 def blend_repair(spark, sf):
     d = Data(spark, sf)
     # The titles name capsules, so no automatic total can stand.
-    repaired, recheck = tot.blend_repair(d.costed.drop("standardization_default_pct", "elemental_percentage"), d.raw)
+    offers = materialize(d.costed.drop("standardization_default_pct", "elemental_percentage"), "offers")
+    repaired, recheck = tot.blend_repair(offers, materialize(d.raw, "raw"))
     a = recheck.select(F.lit("recheck").alias("kind"), "id")
     return a.unionByName(repaired.where("total_active_per_container is null").select(F.lit("cleared").alias("kind"), "id"))
 
@@ -361,7 +355,7 @@ def blend_repair(spark, sf):
 @query(
     "probe_totals",
     """SELECT id, CASE WHEN known_count IS NULL THEN 'missing' WHEN abs(known_strength * known_count - size) / size <= 0.01 THEN 'ok' ELSE 'wrong' END AS status,
-known_count > 1 AND abs(known_strength - size) / size <= 0.01 AS strength_is_total, 'title' AS best_source FROM v_listings WHERE style IN (0, 3, 5, 6, 7)""",
+coalesce(known_count > 1 AND abs(known_strength - size) / size <= 0.01, false) AS strength_is_total, 'title' AS best_source FROM v_listings WHERE style IN (0, 3, 5, 6, 7)""",
 )
 def probe_totals(spark, sf):
     rows = Data(spark, sf).listings.where("style in (0, 3, 5, 6, 7)").withColumns(
@@ -376,8 +370,8 @@ def probe_totals(spark, sf):
 
 def diagnostic(spark, sf):
     d = Data(spark, sf)
-    offers = d.costed.drop("standardization_default_pct", "elemental_percentage")
-    return tot.total_diagnostic(offers, d.raw, d.merchants, d.ingredients)
+    offers = materialize(d.costed.drop("standardization_default_pct", "elemental_percentage"), "offers")
+    return tot.total_diagnostic(offers, materialize(d.raw, "raw"), d.merchants, d.ingredients)
 
 
 CONFIRMED = """SELECT o.*, m.name AS merchant, CASE WHEN total_active_per_container > 0 THEN total_active_per_container ELSE total_strength END AS truth,
