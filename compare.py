@@ -1,4 +1,4 @@
-"""Run registered queries next to their SQL and report differences: python compare.py [sf_dir] [name ...]"""
+"""Run registered queries next to their SQL and report differences: python compare.py [sf_dir] [from:to] [name ...]"""
 
 from __future__ import annotations
 
@@ -37,7 +37,8 @@ def main(argv: list[str]) -> int:
     for t in TABLES:
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     bad = 0
-    for name, fn in QUERIES.items():
+    span = slice(*map(int, wanted.pop(0).split(":"))) if wanted and ":" in wanted[0] else slice(None)
+    for name, fn in list(QUERIES.items())[span]:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
@@ -60,7 +61,7 @@ def main(argv: list[str]) -> int:
             at = [names.index(c) for c in cols]
             theirs = sorted(tuple(cell(r[i]) for i in at) for r in theirs_rows)
             if mine == theirs:
-                print(f"ok   {name} {len(mine)} {took:.1f}s")
+                print(f"ok   {name} {len(mine)} {took:.1f}s", flush=True)
             else:
                 bad += 1
                 a, b = set(mine) - set(theirs), set(theirs) - set(mine)

@@ -81,17 +81,17 @@ def outcomes(result):
 
 
 def test_runs_insert_update_stale_and_restore(spark):
-    first = ingest(feed(spark, [("1", "", "Zinc &amp; more 50mg vial", "10"), ("2", "", "Zinc 20 mg 30 capsules", "6")]), tables(spark), 1, NOW)
+    first = ingest(feed(spark, [("1", "", "Zinc &#8211; 50mg vial", "10"), ("2", "", "Zinc 20 mg 30 capsules", "6")]), tables(spark), 1, NOW)
     assert first.ok and outcomes(first) == {"inserted": 2}
     got = {r["source_product_id"]: r for r in first.tables["offers"].collect()}
     one, two = got["1"], got["2"]
-    assert one["product_title"] == "Zinc & more 50mg vial" and one["visibility_status"] == "pending" and one["canonical_product_id"] == 70
+    assert one["product_title"] == "Zinc – 50mg vial" and one["visibility_status"] == "pending" and one["canonical_product_id"] == 70
     assert (float(one["total_active_per_container"]), one["total_active_source"], float(one["cost_per_active_unit"])) == (50.0, "single_title", 0.2)
     assert (two["ingredient_form"], float(two["total_strength"]), float(two["cost_per_serving"])) == ("capsule", 600.0, 0.2)
-    assert '"product_title":"Zinc &amp; more 50mg vial"' in first.tables["raw"].where("source_product_id = '1'").first()["raw_json"]
+    assert '"product_title":"Zinc &#8211; 50mg vial"' in first.tables["raw"].where("source_product_id = '1'").first()["raw_json"]
 
     # The same feed again changes nothing but the counters.
-    again = ingest(feed(spark, [("1", "", "Zinc &amp; more 50mg vial", "10"), ("2", "", "Zinc 20 mg 30 capsules", "6")]), first.tables, 2, NOW)
+    again = ingest(feed(spark, [("1", "", "Zinc &#8211; 50mg vial", "10"), ("2", "", "Zinc 20 mg 30 capsules", "6")]), first.tables, 2, NOW)
     assert outcomes(again) == {"updated": 2} and again.tables["history"].count() == 0
 
     # A price moves, a row is missing, a suppressed key stays out.
