@@ -45,13 +45,11 @@ def half_up(c: Column, digits: int) -> Column:
     """Round half away from zero on the decimal form of a double.
 
     Twelve decimals come first, so that a half that binary arithmetic left a hair
-    short (79.33324999999999) still counts as a half.
+    short (79.33324999999999) still counts as a half.  Plain casts only, to stay
+    inside generated code; values of 1e26 and more, which no stored column can hold,
+    give null.
     """
-
-    def rounded(v: Column) -> Column:
-        return F.coalesce(F.round(v.try_cast("decimal(38,12)"), digits).cast("double"), F.round(v, digits))
-
-    return let(c.cast("double"), rounded)
+    return F.round(c.cast("double").try_cast("decimal(38,12)"), digits).cast("double")
 
 
 def plain_number(c: Column, digits: int = 4) -> Column:
