@@ -33,10 +33,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name on storage every executor sees.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a local temporary folder is used.
+    and driver and executors are one process (tests, a laptop) a temporary
+    folder is made; elsewhere a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pricebook-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
