@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .base import documents, query
+from .near import near_groups
 from .substrings import remove_repeats
 
 REPEATS = r"""
@@ -27,3 +28,8 @@ FROM n LEFT JOIN k ON n.doc_id = k.doc_id
 def op4_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     kept = remove_repeats(documents(spark, sf), width=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return near_groups(documents(spark, sf), width=4, percent=85)

@@ -112,7 +112,7 @@ def _distance() -> Column:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and median absolute deviations as a diagonal covariance."""
     p = len(DIMENSIONS)
-    medians = rows.groupBy("g").agg(*(F.percentile_approx(d, 0.5).alias(_named("m", i)) for i, d in enumerate(DIMENSIONS)))
+    medians = materialize(rows.groupBy("g").agg(*(F.percentile_approx(d, 0.5).alias(_named("m", i)) for i, d in enumerate(DIMENSIONS))), "fit")
     spread = rows.join(medians, "g").groupBy("g").agg(
         *(F.first(_named("m", i)).alias(_named("m", i)) for i in range(p)),
         *(F.percentile_approx(F.abs(F.col(d) - F.col(_named("m", i))), 0.5).alias(_named("d", i)) for i, d in enumerate(DIMENSIONS)),
@@ -128,7 +128,7 @@ def _step(rows: DataFrame, fit: DataFrame, share: float) -> DataFrame:
     """One concentration step: the closest documents of each group, fitted again."""
     p = len(DIMENSIONS)
     near = rows.join(fit, "g").select("g", *DIMENSIONS, _distance().alias("d2"))
-    bound = near.groupBy("g").agg(F.percentile_approx("d2", share).alias("bound"))
+    bound = materialize(near.groupBy("g").agg(F.percentile_approx("d2", share).alias("bound")), "fit")
     near = near.join(bound, "g").filter("d2 <= bound")
     fitted = near.groupBy("g").agg(
         *(F.avg(d).alias(_named("m", i)) for i, d in enumerate(DIMENSIONS)),
