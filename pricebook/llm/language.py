@@ -133,7 +133,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[where], RUN_BYTES):
+            for batch in slices(whole, where, RUN_BYTES):
                 grams = Trigrams(batch.column(where))
                 known = grams.has_letter & bool(names)
                 best, score = np.zeros(grams.rows, np.int64), np.zeros(grams.rows)

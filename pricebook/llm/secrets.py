@@ -134,7 +134,7 @@ def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(classes, allow)
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[where], BATCH_BYTES):
+            for batch in slices(whole, where, BATCH_BYTES):
                 texts = batch.column(where).to_pylist()
                 spans = [scanner.spans(t) if t else [] for t in texts]
                 columns = list(batch.columns)
