@@ -10,19 +10,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from pricebook.llm.base import documents, tokenizer  # noqa: E402
+from pricebook.llm.mixing import mix  # noqa: E402
+from pricebook.llm.near import near_groups  # noqa: E402
 from pricebook.llm.packing import pack  # noqa: E402
+from pricebook.llm.secrets import scan  # noqa: E402
+from pricebook.llm.toxicity import fit, score  # noqa: E402
+from pricebook.llm.toxicity_queries import labels  # noqa: E402
 from pricebook.session import materialize  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What takes the place of a secret.
+REDACTED = "[secret]"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer calls toxic go; it learns from the labelled documents of the training folds."""
+    told = score(docs, fit(docs, labels(spark, sf_dir)))
+    return told.filter("toxicity < 0.5").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays (five-word shingles, similarity 0.8).
+
+    Rows with the same id are one document.  Rows without an id cannot be told apart and stay.
+    """
+    groups = near_groups(docs, width=5, percent=80)
+    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.union(docs.filter("doc_id IS NULL"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in them are blotted out."""
+    clean = scan(docs, redact=REDACTED).select(*docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: 0 to 3 times."""
+    return mix(docs)
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 1024 tokens of what is left; the last stage returns the pieces with their ids."""
     return pack(docs, tokenizer(), size=1024)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: Models and tokenizer ids are beyond SQL; a small fixture is held against a brute-force version instead.
 ORACLE_SQL: str | None = None
