@@ -13,9 +13,11 @@ empty parts need no rows.
 
 Rows.  A part's key (hash of its parity bits, place and band) goes with the set's number, packed by hash bucket.
 Copies are one number (a hash of the whole set), so they meet as one.  Keys shared by up to ``FEW`` sets give all
-pairs.  A key shared by more gives pairs with its smallest set only; when these are checked, keys whose sets are not
-all connected by then are taken apart by parts of the next hash and so on; at the last, all pairs that are not yet
-connected.  So a crowd of near copies costs one check each, and nothing is dropped.
+pairs.  A key shared by more gives pairs with one set only, its centre.  When these are checked, a set is done if a link
+of it cannot hang on crowded keys alone: crowded keys whose sets are all connected do not count, and with every set
+that it is linked with it shares more keys than there are others.  Sets that are not done (passages that many
+documents share, crowds of not quite near copies) are compared by dense sketches in blocks.  So a crowd of near copies
+costs a few checks each, and nothing is dropped.
 
 Checks.  Pairs pass the sizes, then the Hamming distance of a dense sketch of 1024 bits, then the exact overlap of
 the sets, made again from one text for each set.  First one pair for each set is checked; pairs connected by then
@@ -24,6 +26,7 @@ are not.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +40,19 @@ from .tokens import slices
 from .words import BASE, Words, bucket_bits, dealt, gathered, mixed, planes, unplanes
 
 #: Bytes of text made into sets at once.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
+#: Pairs made at once.
+PAIRS_AT_ONCE = 500_000
 #: A key of more sets than this gives pairs with its smallest one first.
-FEW = 24
-#: Hashes by which crowded keys are taken apart before all their pairs are checked.
-FAMILIES = 4
+FEW = 32
+#: A crowded key ties its sets to a centre that is the least by one of so many orders: most near copies are linked
+#: with some centre.
+CENTRES = 4
 SKETCH = 1024
 #: Sets checked against one centre in one group.
 GROUP = 128
+#: Sets of a block where sets are compared in blocks.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -112,7 +120,7 @@ class Bands:
         self.starts = np.array(starts)
         low = self.starts[1:] - 1
         self.most = np.array([max(most_different(a + b, percent) for b in (a * 100 // percent, max(a, a * 100 // percent - 1))) for a in low.tolist()] or [0])
-        self.parts = np.where(self.most > 0, self.most + 1 + self.most // 40 + 2, 0)
+        self.parts = np.where(self.most > 0, self.most + 4 + self.most // 8, 0)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
@@ -135,29 +143,43 @@ def _parts(sets: Sets, rows: np.ndarray, band: np.ndarray, bands: Bands, seed: i
     return doc[at], mixed(image ^ mixed(place))
 
 
-def keys(sets: Sets, rows: np.ndarray, percent: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets of some rows, and with each the set's number twice, plus 1 where it is the larger band's."""
+def keys(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sets of some rows, each with its entry: the set's number twice, plus 1 where its band is the larger one.
+
+    Also each entry once with its slack: with every set that it is linked with it shares at least so many keys.
+    """
     bands = Bands(int(sets.n.max(initial=0)), percent)
     own = bands.of(np.maximum(sets.n, 1))
-    found, values = [], []
+    found, values, entries, slack = [], [], [], []
     for upper in (0, 1):
         band = np.maximum(own - upper, 0)
         live = rows[(own[rows] >= upper) & (bands.parts[band[rows]] > 0)]
         again = 0
         while len(live):
-            doc, key = _parts(sets, live, band, bands, 1 + family + FAMILIES * again)
+            doc, key = _parts(sets, live, band, bands, 1 + again)
             found.append(key)
             values.append((sets.number[doc].astype(_U) << _U(1)) + _U(upper))
             filled = np.bincount(doc, minlength=len(sets.n))
-            live = live[filled[live] <= bands.most[band[live]]]
+            spare = filled[live] - bands.most[band[live]]
+            entries.append((sets.number[live[spare > 0]].astype(_U) << _U(1)) + _U(upper))
+            slack.append(spare[spare > 0])
+            live = live[spare <= 0]
             again += 1
     if not found:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(values).view(np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(values).view(np.int64), np.concatenate(entries).view(np.int64), np.concatenate(slack)
+
+
+def _centres(key: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each run of a key the place of its centre: by ``CENTRES`` orders of the sets, one for each key."""
+    rank = mixed(number.astype(_U) ^ mixed(key % _U(CENTRES) + _U(1)))
+    least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(key))))
+    at = np.flatnonzero(rank == least)
+    return at[np.searchsorted(at, starts)]
 
 
-def _meet(key: np.ndarray, value: np.ndarray, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From entries by ascending key: pairs (a, b) and crowded entries (key, number)."""
+def _meet(key: np.ndarray, value: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From entries by ascending key: pairs (a, b) and the entries of crowded keys (key, entry)."""
     order = np.lexsort((value, key))
     key, value = key[order], value[order]
     new = np.ones(len(key), bool)
@@ -167,22 +189,25 @@ def _meet(key: np.ndarray, value: np.ndarray, few: int | None) -> tuple[np.ndarr
     size = np.diff(np.append(starts, len(key)))
     number, upper = (value.view(_U) >> _U(1)).astype(np.int64), (value & 1).astype(bool)
     pairs = []
-    crowd = size > few if few else np.zeros(len(size), bool)
+    crowd = size > few
     for g in range(2, int(size[~crowd].max(initial=0)) + 1):
         own = starts[(size == g) & ~crowd]
         if len(own):
             i, j = np.triu_indices(g, 1)
-            for block in range(0, len(own), max(1, 4_000_000 // len(i))):
-                base = own[block : block + max(1, 4_000_000 // len(i)), None]
+            for block in range(0, len(own), max(1, PAIRS_AT_ONCE // len(i))):
+                base = own[block : block + max(1, PAIRS_AT_ONCE // len(i)), None]
                 a, b = (base + i).ravel(), (base + j).ravel()
                 keep = ~(upper[a] & upper[b])
                 pairs.append((number[a[keep]], number[b[keep]]))
     inside = np.repeat(crowd, size)
-    centre = np.repeat(starts, size)[inside]
-    pairs.append((number[centre], number[inside]))
+    if inside.any():
+        centre = np.repeat(_centres(key, number, starts), size)[inside]
+        pairs.append((number[centre], number[inside]))
+    if not pairs:
+        pairs.append((number[:0], number[:0]))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
     a, b = np.minimum(a, b), np.maximum(a, b)
-    return a[a < b], b[a < b], key[inside], number[inside]
+    return a[a < b], b[a < b], key[inside], value[inside]
 
 
 def _packed(bucket: int, kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -191,12 +216,11 @@ def _packed(bucket: int, kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBa
 
 _NAMES = ["bucket", "hashes", "values", "kind"]
 _ROW = "bucket long, hashes binary, values binary, kind long"
-_ENTRIES, _PAIRS, _CROWD = 0, 1, 2
+_ENTRIES, _PAIRS, _CROWD, _SLACK = 0, 1, 2, 3
 
 
-def _candidates(texts: DataFrame, width: int, percent: int, family: int, bits: int, few: int | None) -> DataFrame:
-    """Packed pairs and crowded entries of all texts; ``texts`` has text and, after the first family, crowds (keys)."""
-    crowded = "crowds" in texts.columns
+def _candidates(texts: DataFrame, width: int, percent: int, bits: int, few: int = FEW) -> DataFrame:
+    """Packed pairs and crowded entries of all texts."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -206,31 +230,25 @@ def _candidates(texts: DataFrame, width: int, percent: int, family: int, bits: i
                 # Copies in the run are one set.
                 rows = np.unique(sets.number, return_index=True)[1]
                 rows = rows[sets.n[rows] > 0]
-                key, value = keys(sets, rows, percent, family)
-                if crowded and len(key):
-                    lists = dict(zip(sets.number.tolist(), batch.column("crowds").to_pylist(), strict=True))
-                    mine = [lists[v] for v in (value.view(_U) >> _U(1)).tolist()]
-                    times = np.fromiter(map(len, mine), np.int64, len(mine))
-                    crowd = np.array([c for m in mine for c in m], np.int64).view(_U)
-                    key, value = mixed(np.repeat(key, times) ^ mixed(crowd)), np.repeat(value, times)
+                key, value, entry, slack = keys(sets, rows, percent)
                 if not len(key):
                     continue
+                turn += 1
+                yield _packed(turn % (1 << bits), _SLACK, entry, slack)
                 order = np.argsort(key)
                 key, value = key[order], value[order]
-                if few:
-                    # Of a key with many sets in this run some go on; the others are tied to the first here.
-                    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    size = np.diff(np.append(starts, len(key)))
+                # Of a key with many sets in this run the centre and some others go on; all are tied to the centre here.
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                size = np.diff(np.append(starts, len(key)))
+                if size.max() > few + 2:
+                    number = (value.view(_U) >> _U(1)).astype(np.int64)
+                    centre = np.repeat(_centres(key, number, starts), size)
                     rank = np.arange(len(key)) - np.repeat(starts, size)
-                    stay = rank > few
-                    if stay.any():
-                        first = np.repeat(starts, size)[stay]
-                        number = (value.view(_U) >> _U(1)).astype(np.int64)
-                        a, b = np.minimum(number[first], number[stay]), np.maximum(number[first], number[stay])
-                        turn += 1
-                        yield _packed(turn % (1 << bits), _PAIRS, a[a < b], b[a < b])
-                        yield _packed(turn % (1 << bits), _CROWD, key[stay], number[stay])
-                        key, value = key[~stay], value[~stay]
+                    stay = (rank > few) & (number != number[centre])
+                    a, b = np.minimum(number[centre[stay]], number[stay]), np.maximum(number[centre[stay]], number[stay])
+                    yield _packed(turn % (1 << bits), _PAIRS, a, b)
+                    yield _packed(turn % (1 << bits), _CROWD, key[stay], value[stay])
+                    key, value = key[~stay], value[~stay]
                 out = dealt(key, value, bits)
                 yield out.append_column("kind", pa.array([_ENTRIES] * out.num_rows, pa.int64()))
 
@@ -238,11 +256,11 @@ def _candidates(texts: DataFrame, width: int, percent: int, family: int, bits: i
         kind = table.column("kind").to_numpy()
         out = table.filter(pa.array(kind != _ENTRIES)).select(_NAMES).to_batches()
         if (kind == _ENTRIES).any():
-            a, b, key, number = _meet(*gathered(table.filter(pa.array(kind == _ENTRIES))), few)
+            a, b, key, entry = _meet(*gathered(table.filter(pa.array(kind == _ENTRIES))), few)
             if len(a):
                 out.append(_packed(0, _PAIRS, a, b))
             if len(key):
-                out.append(_packed(0, _CROWD, key, number))
+                out.append(_packed(0, _CROWD, key, entry))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("values", pa.binary()), ("kind", pa.int64())]))
 
     return texts.mapInArrow(deal, _ROW).groupBy("bucket").applyInArrow(meet, _ROW)
@@ -311,37 +329,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     sets = materialize(some.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
     bits = bucket_bits(rows, F.col("text"))
     texts = rows.filter("text IS NOT NULL").select("text")
-    links, roots = None, None
-    for family in range(FAMILIES):
-        last = family == FAMILIES - 1
-        found = materialize(_candidates(texts, width, percent, family, bits, None if last else FEW), "candidates")
-        pairs = _unpacked(found, _PAIRS).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        left, right = sets.alias("l"), sets.alias("r")
-        pairs = pairs.join(left, F.col("a") == F.col("l.v")).join(right, F.col("b") == F.col("r.v")).filter(_is_near("l", "r", percent)).select("a", "b", F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b"))
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("v"), F.col("rep_a").alias("rep")).union(pairs.select(F.col("b").alias("v"), F.col("rep_b").alias("rep"))).distinct()
-        own = wanted.join(rows.withColumnRenamed("doc_id", "rep"), "rep").groupBy("v").agg(F.first("text").alias("text"))
-        own = materialize(own, "texts")
-        # First every set with its smallest neighbour, then what that leaves unconnected.
-        first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-        sure = materialize(_checked(first, own, width, percent), "links")
-        links = sure if links is None else links.union(sure)
-        roots = materialize(components(links), "roots")
-        rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-        rest = materialize(_apart(rest, roots), "pairs")
-        links = materialize(links.union(_checked(rest, own, width, percent)), "links")
-        roots = materialize(components(links), "roots")
-        if last:
-            break
-        # Crowded keys whose sets are not all connected go on.
-        crowd = _unpacked(found, _CROWD).select(F.col("x").alias("key"), F.col("y").alias("v")).distinct()
-        crowd = crowd.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        open_keys = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        crowd = materialize(crowd.join(open_keys, "key").groupBy("v").agg(F.collect_set("key").alias("crowds")), "crowd")
-        if crowd.isEmpty():
-            break
-        reps = crowd.join(sets.select("v", "rep"), "v").join(rows.withColumnRenamed("doc_id", "rep"), "rep")
-        texts = materialize(reps.groupBy("v").agg(F.first("text").alias("text"), F.first("crowds").alias("crowds")), "texts").select("text", "crowds")
+    found = materialize(_candidates(texts, width, percent, bits), "candidates")
+    links, roots = _linked(_unpacked(found, _PAIRS).toDF("x", "y"), sets, rows, None, width, percent)
+    # Crowded keys whose sets are not all connected are open.  A set with fewer open keys than its slack shares another
+    # key with every set that it is linked with; the others are compared in blocks.
+    number = F.shiftrightunsigned("entry", 1)
+    crowd = _unpacked(found, _CROWD).toDF("key", "entry").distinct().withColumn("v", number)
+    crowd = crowd.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    open_keys = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    held = crowd.join(open_keys, "key").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    slack = _unpacked(found, _SLACK).toDF("entry", "slack").groupBy("entry").agg(F.min("slack").alias("slack"))
+    left = materialize(held.join(slack, "entry").filter("n >= slack").select(number.alias("v")).distinct(), "left")
+    near = materialize(_in_blocks(left.join(sets, "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), percent), "near")
+    links, roots = _linked(near, sets, rows, links, width, percent)
     named = told.select("doc_id", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = materialize(named.select("doc_id", "n", F.when(F.col("n") > 0, F.col("root")).alias("root")), "named")
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -349,6 +349,73 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _in_blocks(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sets (v, root, n, sketch) of different roots whose sizes and dense sketches allow a link.
+
+    Sets are put in bands of sizes and in blocks of about ``BLOCK``; a group of the comparison is two blocks of one band
+    or of neighbours.
+    """
+    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("long")
+    sets = sets.select("v", "root", "n", "sketch", band.alias("band"))
+    size = materialize(sets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "blocks")
+    above = size.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = size.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    sets = sets.join(size, "band").join(above, "band", "left").join(below, "band", "left")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+
+    def to(blocks: str, x: Column, other: Column, ours_first: bool) -> Column:
+        """The groups of a block with each block of a band."""
+        count = F.coalesce(blocks, F.lit(0)).cast("int")
+
+        def group(i: Column) -> Column:
+            i = (i - 1).cast("long")
+            first, second = (F.col("block"), i) if ours_first else (i, F.col("block"))
+            return F.struct(x.alias("p"), other.alias("q"), first.alias("i"), second.alias("j"))
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), group)).otherwise(F.array().cast("array<struct<p:bigint,q:bigint,i:bigint,j:bigint>>"))
+
+    own = F.col("band")
+    same = F.transform(to("blocks", own, own, True), lambda g: F.struct(g["p"].alias("p"), g["q"].alias("q"), F.least(g["i"], g["j"]).alias("i"), F.greatest(g["i"], g["j"]).alias("j")))
+    groups = F.concat(same, to("above", own, own + 1, True), to("below", own - 1, own, False))
+    dealt_out = sets.select("v", "root", "n", "sketch", "band", "block", F.explode(groups).alias("g")).select("g.*", "v", "root", "n", "sketch", "band", "block")
+
+    def compare(table: pa.Table) -> pa.Table:
+        p, q, i, j, band, block = (table.column(c).to_numpy() for c in ("p", "q", "i", "j", "band", "block"))
+        v, root, n = (table.column(c).to_numpy() for c in ("v", "root", "n"))
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(_U).reshape(len(v), -1)
+        one = np.flatnonzero((band == p) & (block == i))
+        two = np.flatnonzero((band == q) & (block == j))
+        xs, ys = [], []
+        for k in one.tolist():
+            some = two[(root[two] != root[k]) & (100 * np.minimum(n[two], n[k]) >= percent * np.maximum(n[two], n[k]))]
+            apart = np.bitwise_count(sketch[some] ^ sketch[k]).sum(1, dtype=np.int64)
+            some = some[apart <= most_different(n[some] + n[k], percent)]
+            xs.append(np.full(len(some), v[k]))
+            ys.append(v[some])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"x": np.concatenate(xs or none), "y": np.concatenate(ys or none)})
+
+    return dealt_out.groupBy("p", "q", "i", "j").applyInArrow(compare, "x long, y long")
+
+
+def _linked(found: DataFrame, sets: DataFrame, rows: DataFrame, links: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links known after checking the found pairs (x, y), and the roots of the sets that have links."""
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = sets.alias("l"), sets.alias("r")
+    pairs = pairs.join(left, F.col("a") == F.col("l.v")).join(right, F.col("b") == F.col("r.v")).filter(_is_near("l", "r", percent))
+    pairs = materialize(pairs.select("a", "b", F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b")), "pairs")
+    wanted = pairs.select(F.col("a").alias("v"), F.col("rep_a").alias("rep")).union(pairs.select(F.col("b").alias("v"), F.col("rep_b").alias("rep"))).distinct()
+    own = wanted.join(rows.withColumnRenamed("doc_id", "rep"), "rep").groupBy("v").agg(F.first("text").alias("text"))
+    own = materialize(own, "texts")
+    # First every set with its smallest neighbour, then what that leaves unconnected.
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    sure = _checked(first, own, width, percent)
+    links = materialize(sure if links is None else links.union(sure), "links")
+    rest = materialize(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links)), "pairs")
+    links = materialize(links.union(_checked(rest, own, width, percent)), "links")
+    return links, materialize(components(links), "roots")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs that are not connected yet."""
     x = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))

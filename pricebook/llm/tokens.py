@@ -28,9 +28,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: What a row counts for besides its bytes.
+ROW_BYTES = 256
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of a string or binary column; a longer row stands alone."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
     at, n = 0, len(size)
     ends = np.cumsum(size)
     while at < n:
