@@ -57,7 +57,7 @@ ALLOW = (
 
 def entropies(run: str, width: int) -> Iterator[float]:
     """The Shannon entropy of each window of a run, in bits, by incremental counts."""
-    xlog = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    xlog = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(run):
