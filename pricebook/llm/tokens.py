@@ -8,7 +8,9 @@ byte lengths, which are checked.  Texts with other white space next to a space a
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,12 +61,21 @@ class TextEncoder:
         self.tok.no_truncation()
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         # A byte-level token spells each byte as one letter.
         letters = set(ByteLevel.alphabet())
         self.width = np.zeros(size, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.width[i] = len(token) if set(token) <= letters else len(token.encode())
         self.seen: dict[str, bytes | None] = {}
+        # The library's byte-level cutting makes a space and letters one word, and the punctuation after it another.
+        cutting = json.loads(self.tok.to_str())
+        self.by_words = cutting["normalizer"] is None and cutting["pre_tokenizer"].get("type") == "ByteLevel" and cutting["pre_tokenizer"].get("use_regex", False) and not cutting["pre_tokenizer"].get("add_prefix_space", True)
+        # How it spells bytes: printable ones as themselves, the others as the letters from U+0100 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(256) if b not in plain]
+        self.spelling = {b: chr(0x100 + i) for i, b in enumerate(others)}
+        self.ends: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -75,11 +86,28 @@ class TextEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
+    def _learn_word(self, piece: str) -> bool:
+        """Remembers a piece of letters with a few signs at its end, if it is one."""
+        word = piece.rstrip(".,;:!?")
+        if not word.isalpha():
+            return False
+        ids = self.seen.get(word)
+        if ids is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+            ids = self.seen[word] = array(self.code, [t.id for t in self.tok.model.tokenize(self.spelling[0x20] + spelled)]).tobytes()
+        if len(word) < len(piece):
+            end = piece[len(word) :]
+            if end not in self.ends:
+                self.ends[end] = self._ids(end).tobytes()
+            self.seen[piece] = ids + self.ends[end]
+        return True
+
     def _learn(self, new: list[str]) -> None:
         """Remembers the ids of pieces that follow a space; None for a piece that a text must not be cut at."""
-        bad = {w for w in new if w[:1].isspace() or w[-1:].isspace() or not w}
+        good = [w for w in new if not self._learn_word(w)] if self.by_words else new
+        bad = {w for w in good if w[:1].isspace() or w[-1:].isspace() or not w}
         self.seen.update(dict.fromkeys(bad))
-        good = [w for w in new if w not in bad] if bad else new
+        good = [w for w in good if w not in bad]
         for at in range(0, len(good), 1024):
             part = good[at : at + 1024]
             ids = self._ids(" " + " ".join(part))
@@ -101,16 +129,19 @@ class TextEncoder:
         at, pieces = at - at[0], split.flatten()
         coded = pieces.dictionary_encode()
         index = coded.indices.to_numpy()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         fresh = [w for w in words if w not in self.seen]
         if len(self.seen) + len(fresh) > MEMORY:
             self.seen = {w: self.seen[w] for w in words if w in self.seen}
         self._learn(fresh)
-        known = [self.seen[w] for w in words]
-        whole = np.array([k is None for k in known])
+        table = list(map(self.seen.__getitem__, words))
         count = np.diff(at)
         # A text with an odd piece is encoded whole; in the others the first piece has no space before it.
-        odd = (np.add.reduceat(whole[index].astype(np.int64), at[:-1]) > 0) if whole.any() else np.zeros(len(count), bool)
+        odd = np.zeros(len(count), bool)
+        if None in table:
+            whole = np.array([k is None for k in table])
+            odd = np.add.reduceat(whole[index].astype(np.int64), at[:-1]) > 0
+            table = [k or b"" for k in table]
         heads: dict[int, bytes] = {}
         first = []
         for i, (o, k) in enumerate(zip(odd.tolist(), index[at[:-1]].tolist(), strict=True)):
@@ -120,7 +151,6 @@ class TextEncoder:
                 if k not in heads:
                     heads[k] = self._ids(words[k]).tobytes()
                 first.append(heads[k])
-        table = [k or b"" for k in known]
         size = self.dtype.itemsize
         length = np.fromiter(map(len, table), np.int64, len(table)) // size
         blob = np.frombuffer(b"".join([*table, *first]), self.dtype)

@@ -27,10 +27,10 @@ from .tokens import TextEncoder, ranges, slices
 BLOCK = 512
 #: Tokens of a shard, about; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 19
-#: Bytes of text made into one shard.
-SHARD_BYTES = 3_000_000
+#: Bytes of text encoded at once.
+SHARD_BYTES = 6_000_000
 _MAGIC = b"WMX1"
-_HEAD = struct.Struct("<4sBQQ")
+_HEAD = struct.Struct("<4sBQQI")
 
 
 class WaveletMatrix:
@@ -149,15 +149,48 @@ class WaveletMatrix:
 
 
 def to_blob(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file image of a shard."""
-    m = WaveletMatrix.build(ids)
-    table = doc_ids.astype("<i8").tobytes() + np.packbits(null).tobytes() + counts.astype("<u4").tobytes()
-    return _HEAD.pack(_MAGIC, len(m.planes), len(ids), len(counts)) + table + m.to_bytes()
+    """The file image of a shard: its planes hold places in the ascending list of the ids that occur."""
+    used = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    place[used] = np.arange(len(used))
+    m = WaveletMatrix.build(place[ids])
+    table = doc_ids.astype("<i8").tobytes() + np.packbits(null).tobytes() + counts.astype("<u4").tobytes() + used.astype("<u4").tobytes()
+    return _HEAD.pack(_MAGIC, len(m.planes), len(ids), len(counts), len(used)) + table + m.to_bytes()
 
 
-def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
-    """doc_ids, which of them are null, ids of each document, and the wavelet matrix of a file image."""
-    magic, levels, n, docs = _HEAD.unpack_from(blob)
+class Shard:
+    """A file image opened in place: tokens by access, rank, count and select, or all of them."""
+
+    def __init__(self, blob: bytes):
+        self.doc_ids, self.null, self.counts, self.used, self.matrix = from_blob(blob)
+
+    def _place(self, token: int) -> int:
+        i = int(np.searchsorted(self.used, token))
+        return i if i < len(self.used) and self.used[i] == token else -1
+
+    def access(self, i: int) -> int:
+        return int(self.used[self.matrix.access(i)])
+
+    def rank(self, token: int, to: int) -> int:
+        """Occurrences of a token before place ``to``."""
+        place = self._place(token)
+        return self.matrix.rank(place, to) if place >= 0 else 0
+
+    def count(self, token: int) -> int:
+        return self.rank(token, self.matrix.n)
+
+    def select(self, token: int, k: int) -> int:
+        """The place of the k-th occurrence, from 0; -1 if there are fewer."""
+        place = self._place(token)
+        return self.matrix.select(place, k) if place >= 0 else -1
+
+    def ids(self) -> np.ndarray:
+        return self.used[self.matrix.ids()]
+
+
+def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
+    """doc_ids, which of them are null, tokens of each document, the ids in use, and the wavelet matrix of a file image."""
+    magic, levels, n, docs, kinds = _HEAD.unpack_from(blob)
     if magic != _MAGIC:
         raise ValueError("not a token shard")
     at, raw = _HEAD.size, memoryview(blob)
@@ -166,7 +199,9 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletM
     null = np.unpackbits(np.frombuffer(raw, np.uint8, -(-docs // 8), at), count=docs).view(bool)
     at += -(-docs // 8)
     counts = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
-    return doc_ids, null, counts, WaveletMatrix.from_bytes(n, levels, raw[at + 4 * docs :])
+    at += 4 * docs
+    used = np.frombuffer(raw, "<u4", kinds, at)
+    return doc_ids, null, counts, used, WaveletMatrix.from_bytes(n, levels, raw[at + 4 * kinds :])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> str:
@@ -208,7 +243,8 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return files.join(parts, "part").withColumn("first", F.col("base") + F.col("before"))
+    # One number per partition that wrote: bounded by the partitions of one job, whatever the rows.
+    return files.join(F.broadcast(parts), "part").withColumn("first", F.col("base") + F.col("before"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -217,12 +253,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, blob in zip(batch.column("first").to_pylist(), batch.column("blob"), strict=True):
-                doc_ids, null, counts, m = from_blob(blob.as_py())
-                ends = np.cumsum(counts)
-                data = m.ids().astype("<u4")
+                shard = Shard(blob.as_py())
+                counts, ends = shard.counts, np.cumsum(shard.counts)
+                data = shard.ids()
                 cuts = np.concatenate([[0], ends * 4]).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null), pa.array(first + ends - counts), pa.array(counts), ids], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.null), pa.array(first + ends - counts), pa.array(counts), ids], ["doc_id", "start", "n_tokens", "ids"])
 
     return _shards(spark, path).select("first", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -236,8 +272,8 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, blob in zip(batch.column("first").to_pylist(), batch.column("blob"), strict=True):
-                m = from_blob(blob.as_py())[3]
-                if n := m.count(token):
-                    yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "places": [[first + m.select(token, k) for k in range(n)]]})
+                shard = Shard(blob.as_py())
+                if n := shard.count(token):
+                    yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "places": [[first + shard.select(token, k) for k in range(n)]]})
 
     return _shards(spark, path).select("first", "blob").mapInArrow(run, "first long, n long, places array<long>")
