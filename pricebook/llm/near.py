@@ -20,8 +20,7 @@ documents share, crowds of not quite near copies) are compared by dense sketches
 costs a few checks each, and nothing is dropped.
 
 Checks.  Pairs pass the sizes, then the Hamming distance of a dense sketch of 1024 bits, then the exact overlap of
-the sets, made again from one text for each set.  First one pair for each set is checked; pairs connected by then
-are not.
+the sets, made again from one text for each set.
 """
 
 from __future__ import annotations
@@ -51,6 +50,8 @@ CENTRES = 4
 SKETCH = 1024
 #: Sets checked against one centre in one group.
 GROUP = 128
+#: Bits of the filter of documents whose texts are wanted: 1 MB.
+FILTER_BITS = 1 << 23
 #: Sets of a block where sets are compared in blocks.
 BLOCK = 512
 
@@ -405,20 +406,29 @@ def _linked(found: DataFrame, sets: DataFrame, rows: DataFrame, links: DataFrame
     pairs = pairs.join(left, F.col("a") == F.col("l.v")).join(right, F.col("b") == F.col("r.v")).filter(_is_near("l", "r", percent))
     pairs = materialize(pairs.select("a", "b", F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b")), "pairs")
     wanted = pairs.select(F.col("a").alias("v"), F.col("rep_a").alias("rep")).union(pairs.select(F.col("b").alias("v"), F.col("rep_b").alias("rep"))).distinct()
-    own = wanted.join(rows.withColumnRenamed("doc_id", "rep"), "rep").groupBy("v").agg(F.first("text").alias("text"))
+    own = _picked(rows, wanted).groupBy("v").agg(F.first("text").alias("text"))
     own = materialize(own, "texts")
-    # First every set with its smallest neighbour, then what that leaves unconnected.
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    sure = _checked(first, own, width, percent)
-    links = materialize(sure if links is None else links.union(sure), "links")
-    rest = materialize(_apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), components(links)), "pairs")
-    links = materialize(links.union(_checked(rest, own, width, percent)), "links")
+    found = _checked(pairs.select("a", "b"), own, width, percent)
+    links = materialize(found if links is None else links.union(found), "links")
     return links, materialize(components(links), "roots")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that are not connected yet."""
-    x = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
-    y = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-    far = pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return far.select("a", "b")
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (text) of the wanted documents (v, rep): a Bloom filter of fixed size spares most others the shuffle."""
+    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    # At most one number for each word of the filter.
+    for r in words.collect():
+        table[r["word"]] = r["bits"]
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            there = table[bit >> 6].view(_U) >> (bit & 63).astype(_U) & _U(1)
+            some = batch.select(["rep", "text"]).filter(pa.array(there.astype(bool)))
+            if some.num_rows:
+                yield some
+
+    texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").withColumn("bit", bit)
+    return texts.mapInArrow(sift, "rep long, text string").join(wanted, "rep")
