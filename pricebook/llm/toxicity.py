@@ -142,7 +142,7 @@ class Restored:
         coded = tokens.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # Runs of three and more single signs are one spelled-out stretch.
         single = np.array([sum(c.isalnum() or c in LOOKS_LIKE for c in t) == 1 and len(t) <= 2 for t in distinct], bool) if distinct else np.zeros(0, bool)
         alone = np.concatenate([[False], single[index], [False]])
