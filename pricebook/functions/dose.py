@@ -18,18 +18,17 @@ BILLION_CFU = r"(?i)(\d+(?:\.\d+)?)\s*billion\s*cfu"
 # Labels of a molecular weight, and the phrases that mark a number
 # as one dose or as the content of the whole container.
 MOLAR_LABELS = ["molecular weight", "molecular mass", "molar mass", "mol. wt", "mol wt", "m.w.", "mw:", "mw "]
-_DOSE_NOUNS = ["serving", "dose", "capsule", "tablet", "softgel", "gummy", "scoop"]
-PER_DOSE_TERMS = (
-    ["per " + n for n in _DOSE_NOUNS]
-    + ["each " + n for n in _DOSE_NOUNS if n != "dose"]
-    + [q + n for q in ("1 ", "one ") for n in ("capsule", "tablet", "softgel", "scoop", "serving")]
-)
-CONTAINER_TERMS = (
-    ["total"]
-    + ["per " + n for n in ("bottle", "container", "package", "jar", "bag", "box", "tub", "pouch")]
-    + ["net wt", "net weight", "net contents"]
-    + [n + " contains" for n in ("bottle", "container", "jar", "package")]
-)
+PER_DOSE_TERMS = [
+    "per serving", "per dose", "per capsule", "per tablet", "per softgel", "per gummy", "per scoop",
+    "each serving", "each capsule", "each tablet", "each softgel", "each gummy", "each scoop",
+    "1 capsule", "1 tablet", "1 softgel", "1 scoop", "1 serving",
+    "one capsule", "one tablet", "one softgel", "one scoop", "one serving",
+]
+CONTAINER_TERMS = [
+    "total", "per bottle", "per container", "per package", "per jar", "per bag", "per box", "per tub", "per pouch",
+    "net wt", "net weight", "net contents",
+    "bottle contains", "container contains", "jar contains", "package contains",
+]
 
 _UNIT_OF_WORD = {"mg": "mg", "mcg": "mcg", "g": "g", "iu": "IU"}
 

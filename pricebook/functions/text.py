@@ -116,9 +116,12 @@ def decode_entities(c: Column) -> Column:
 
 
 # Words that say how a product is packed or measured, not what it is.
-TITLE_STOP_WORDS = """capsules capsule caps cap tablets tablet tabs tab softgels softgel soft-gels powder powdered
-liquid tincture tinctures drops gummies gummy count ct serving servings pieces piece scoop scoops sublingual""".split()
-TITLE_UNITS = "mg mgs mcg ug g kg iu ml".split()
+TITLE_STOP_WORDS = [
+    "capsules", "capsule", "caps", "cap", "tablets", "tablet", "tabs", "tab", "softgels", "softgel", "soft-gels", "powder", "powdered",
+    "liquid", "tincture", "tinctures", "drops", "gummies", "gummy", "count", "ct", "serving", "servings", "pieces", "piece", "scoop",
+    "scoops", "sublingual",
+]
+TITLE_UNITS = ["mg", "mgs", "mcg", "ug", "g", "kg", "iu", "ml"]
 
 
 def normalize_title(c: Column) -> Column:
@@ -132,9 +135,8 @@ def normalize_title(c: Column) -> Column:
 
 
 def title_key(c: Column) -> Column:
-    """TXT-3: the memory key of a title; empty when too short to mean anything."""
-    key = F.trim(F.substring(normalize_title(c), 1, 191))
-    return let(key, lambda k: F.when(F.length(k) >= 3, k).otherwise(""))
+    """TXT-3: the memory key of a title, the whole normalized title; empty when too short to mean anything."""
+    return let(normalize_title(c), lambda k: F.when(F.length(k) >= 3, k).otherwise(""))
 
 
 def search_text(*parts: Column) -> Column:

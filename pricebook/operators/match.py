@@ -91,11 +91,12 @@ def detect_ingredient(df: DataFrame, ingredients: DataFrame, text_col: str, id_c
     return df.join(best, df[id_col] == best["_id"], "left").drop("_id")
 
 
-def normalize_offers(df: DataFrame, ingredients: DataFrame, id_col: str = "id") -> DataFrame:
+def normalize_offers(df: DataFrame, ingredients: DataFrame | None, id_col: str = "id") -> DataFrame:
     """JOB-1: read form, strength, unit, count, percentage and ingredient out of the listing text.
 
     Needs product_title, variant_title, description and raw_attributes_json; the
-    results go to columns that start with ``found_``.
+    results go to columns that start with ``found_``.  Without ingredients none is
+    looked for.
     """
     staged = df.withColumn("_attributes", flatten_attributes(F.col("raw_attributes_json")))
     staged = staged.withColumn(
@@ -111,7 +112,10 @@ def normalize_offers(df: DataFrame, ingredients: DataFrame, id_col: str = "id")
             "found_servings": extract_count(F.col("_search")),
         }
     )
-    staged = detect_ingredient(staged, ingredients, "_search", id_col)
+    if ingredients is None:
+        staged = staged.withColumn("detected_ingredient_id", F.lit(None).cast("bigint"))
+    else:
+        staged = detect_ingredient(staged, ingredients, "_search", id_col)
     read = staged.withColumns(
         {
             "found_strength": F.col("_strength.value"),

@@ -137,31 +137,28 @@ def _or_else(c: Column, allowed: list[str], other) -> Column:
 
 
 def to_offer_columns(df: DataFrame, currency: str = DEFAULTS.currency) -> DataFrame:
-    """FIL-9: the feed-owned columns of an offer, typed, cut to length and cleaned."""
+    """FIL-9: the feed-owned columns of an offer, typed and cleaned; no text is cut."""
     have = set(df.columns)
 
     def cell(name: str) -> Column:
         return text(F.col(name)) if name in have else F.lit("")
 
-    def cut(name: str, n: int) -> Column:
-        return F.substring(cell(name), 1, n)
-
     code = F.substring(F.upper(F.regexp_replace(cell("currency"), "[^A-Za-z]", "")), 1, 3)
     columns = {
         "source_platform": cell("source"),
         "source_product_id": cell("source_product_id"),
         "source_variant_id": cell("source_variant_id"),
-        "product_title": cut("product_title", 512),
-        "variant_title": cut("variant_title", 255),
-        "brand": cut("brand", 255),
-        "sku": cut("sku", 255),
-        "barcode": cut("barcode", 64),
+        "product_title": cell("product_title"),
+        "variant_title": cell("variant_title"),
+        "brand": cell("brand"),
+        "sku": cell("sku"),
+        "barcode": cell("barcode"),
         **{p: numeric(cell(p)).cast("decimal(10,4)") for p in PRICES},
         "on_sale": ascii_lower(F.trim(cell("on_sale"))).isin(YES),
         "currency": F.when(code != "", code).otherwise(currency),
         "stock_status": _or_else(ascii_lower(F.trim(cell("stock_status"))), STOCK, "unknown"),
-        "source_product_url": F.substring(_http_only(cell("source_product_url")), 1, 512),
-        "source_variant_url": F.nullif(F.substring(_http_only(cell("source_variant_url")), 1, 512), F.lit("")),
+        "source_product_url": _http_only(cell("source_product_url")),
+        "source_variant_url": F.nullif(_http_only(cell("source_variant_url")), F.lit("")),
         "variation_retrieval_status": _or_else(
             ascii_lower(F.trim(cell("variation_retrieval_status"))), VARIATION_STATUS, "not_applicable"
         ),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions.stock import stock_from_jsonld
 from ..functions.text import ascii_lower, blank, decode_entities, json_value, stringify, strip_html, text
 from ..functions.urls import url_host, url_path
+from ..session import materialize
 from .shops import feed_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -195,21 +196,23 @@ def store_names(pages: DataFrame, site_col: str = "site", home_col: str = "is_ho
 # paths look, and paths that are never products.
 SITEMAP_PATHS = ["/sitemap_products_1.xml", "/product-sitemap.xml", "/wp-sitemap-posts-product-1.xml", "/sitemap.xml"]
 PRODUCT_HINTS = ["/product", "/products/", "/shop/", "/p/", "/item/", "/dp/"]
-NO_PRODUCT_PATHS = """/blog /learn /news /article /about /contact /faq /privacy /terms /refund /shipping /policy
-/policies /cart /checkout /account /login /register /search""".split()
-MAX_DEPTH = 2
+NO_PRODUCT_PATHS = [
+    "/blog", "/learn", "/news", "/article", "/about", "/contact", "/faq", "/privacy", "/terms", "/refund", "/shipping", "/policy",
+    "/policies", "/cart", "/checkout", "/account", "/login", "/register", "/search",
+]
 
 
 def _mentions(c: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
 
 
-def sitemap_product_urls(sitemaps: DataFrame, probe_all: bool = False, cap: int = 500) -> DataFrame:
+def sitemap_product_urls(sitemaps: DataFrame, probe_all: bool = False, cap: int | None = None) -> DataFrame:
     """SRC-10: (site, url) of product pages from landed sitemap documents (site, url, xml).
 
-    Child sitemaps are followed by joining landed documents on their address, two
-    levels deep, on the site's own host or its subdomains.  The first known sitemap
-    path of a site that gives any product wins, and a site keeps at most ``cap`` URLs.
+    Child sitemaps are followed by joining landed documents on their address, level by
+    level until there are no new ones, on the site's own host or its subdomains.  The
+    first known sitemap path of a site that gives any product wins.  With ``cap`` a site
+    keeps at most so many URLs.
     """
     docs = sitemaps.select("site", "url", "xml").where(F.contains("xml", F.lit("<")))
     path = F.substring("url", F.length(F.regexp_replace("site", "/+$", "")) + 1, F.length("url"))
@@ -219,11 +222,10 @@ def sitemap_product_urls(sitemaps: DataFrame, probe_all: bool = False, cap: int
     def locs(parent: str) -> Column:
         return F.transform(F.expr(f"xpath(xml, '/*[local-name()=\"{parent}\"]/*/*[local-name()=\"loc\"]/text()')"), lambda x: F.trim(x))
 
-    parts = []
-    for depth in range(MAX_DEPTH + 1):
+    parts, depth = [], 0
+    seen = level.select("site", "url")
+    while True:
         parts.append(level.select("site", "_cand", "_trust", F.lit(depth).alias("_depth"), "url", F.posexplode(locs("urlset")).alias("_pos", "loc")).withColumnRenamed("url", "_doc"))
-        if depth == MAX_DEPTH:
-            break
         kids = level.select("site", "_cand", F.explode(locs("sitemapindex")).alias("loc"))
         host, base = F.lower(url_host(F.col("loc"))), F.lower(url_host(F.col("site")))
         own = (host == base) | F.endswith(host, F.concat(F.lit("."), base))
@@ -231,6 +233,11 @@ def sitemap_product_urls(sitemaps: DataFrame, probe_all: bool = False, cap: int
         level = kids.join(docs.select(F.col("site"), F.col("url").alias("loc"), "xml"), ["site", "loc"]).select(
             "site", F.col("loc").alias("url"), "xml", "_cand", F.lit(True).alias("_trust")
         )
+        # A document that was met on a higher level is not followed again, so circles end.
+        level = materialize(level.join(seen, ["site", "url"], "left_anti"), "sitemaps")
+        if level.isEmpty():
+            break
+        seen, depth = seen.union(level.select("site", "url")).distinct(), depth + 1
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -246,5 +253,8 @@ def sitemap_product_urls(sitemaps: DataFrame, probe_all: bool = False, cap: int
     place = F.struct(-F.col("_depth"), F.col("_doc"), F.col("_pos"))
     once = kept.groupBy("site", "_cand", "loc").agg(F.min(place).alias("_at"))
     best = once.groupBy("site").agg(F.min("_cand").alias("_cand"))
-    rank = F.row_number().over(W.partitionBy("site").orderBy("_at", "loc"))
-    return once.join(best, ["site", "_cand"]).withColumn("_rank", rank).where(F.col("_rank") <= cap).select("site", F.col("loc").alias("url"))
+    urls = once.join(best, ["site", "_cand"])
+    if cap is not None:
+        rank = F.row_number().over(W.partitionBy("site").orderBy("_at", "loc"))
+        urls = urls.withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return urls.select("site", F.col("loc").alias("url"))

@@ -298,19 +298,19 @@ def page_offers(spark, sf):
 
 @query(
     "sort_detail",
-    f"SELECT id, last_synced_at FROM ({EXPORT}) e ORDER BY last_synced_at DESC NULLS LAST, id LIMIT 100",
+    f"SELECT id, last_synced_at FROM ({EXPORT}) e ORDER BY last_synced_at DESC NULLS LAST, id",
 )
 def sort_detail(spark, sf):
-    return c.sort_detail(export(spark, sf), "last_synced_at").select("id", "last_synced_at").limit(100)
+    return c.sort_detail(export(spark, sf), "last_synced_at").select("id", "last_synced_at")
 
 
 @query(
     "sort_list",
     f"""SELECT canonical_product_id, merchants FROM (SELECT canonical_product_id, count(DISTINCT merchant_id) AS merchants FROM ({EXPORT}) e GROUP BY 1) x
-ORDER BY merchants DESC NULLS LAST, canonical_product_id LIMIT 100""",
+ORDER BY merchants DESC NULLS LAST, canonical_product_id""",
 )
 def sort_list(spark, sf):
-    return c.sort_list(c.compare_list(export(spark, sf)), "merchant_count").select("canonical_product_id", "merchants").limit(100)
+    return c.sort_list(c.compare_list(export(spark, sf)), "merchant_count").select("canonical_product_id", "merchants")
 
 
 @query("recent_rows", "SELECT id, started_at FROM v_attempts ORDER BY id DESC LIMIT 50")

@@ -82,12 +82,12 @@ def unioned(spark, sf):
 
 @query(
     "to_offer_columns",
-    """SELECT row_num, 'Shopify ' AS source_platform, source_product_id, concat('Item & ', source_product_id) AS product_title, CAST(regular_price AS DOUBLE) AS regular_price,
+    """SELECT row_num, source AS source_platform, source_product_id, replace(product_title, '&amp;', '&') AS product_title, CAST(regular_price AS DOUBLE) AS regular_price,
 lower(on_sale) IN ('true', '1') AS on_sale, upper(currency) AS currency, CASE WHEN stock_status = 'gone' THEN 'unknown' ELSE lower(stock_status) END AS stock_status, source_product_url
-FROM v_feed WHERE trim(product_title) <> '' AND source <> 'ebay'""",
+FROM v_feed""",
 )
 def offer_columns(spark, sf):
-    rows = Data(spark, sf).feed.where("trim(product_title) <> '' and source <> 'ebay'")
+    rows = Data(spark, sf).feed
     out = v.to_offer_columns(v.decode_feed_text(rows))
     return out.select(
         "row_num", "source_platform", "source_product_id", "product_title", F.col("regular_price").cast("double").alias("regular_price"),
@@ -346,7 +346,7 @@ UNION ALL SELECT 'clicks', count(*) FROM v_clicks UNION ALL SELECT 'raw', count(
 )
 def delete_cascade(spark, sf):
     d = Data(spark, sf)
-    t = {"offers": d.offers, "history": d.history, "raw": d.raw, "clicks": d.clicks, "suppressions": d.suppressions.limit(0)}
+    t = {"offers": d.offers, "history": d.history, "raw": d.raw, "clicks": d.clicks, "suppressions": d.suppressions}
     out = lc.delete_cascade("offer", d.offers, t, NOW)
     out["clicks_with_offer"] = out["clicks"].where("offer_id is not null")
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n") for name, df in out.items()]

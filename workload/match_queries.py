@@ -259,12 +259,12 @@ SUGGESTED = """CASE style WHEN 5 THEN size * 10 WHEN 6 THEN size WHEN 7 THEN siz
 
 @query(
     "suggest_total",
-    f"""SELECT id, CAST(CASE WHEN id % 3 = 0 AND style = 6 THEN NULL ELSE {SUGGESTED} END AS DOUBLE) AS total,
-CASE style WHEN 5 THEN 'pack_count' WHEN 6 THEN CASE WHEN id % 3 <> 0 THEN 'single_title' END WHEN 7 THEN 'blend_sum' END AS source FROM v_listings WHERE NOT (id % 3 = 0 AND style IN (5, 7))""",
+    f"""SELECT id, CAST(CASE WHEN id % 3 <> 0 THEN {SUGGESTED} END AS DOUBLE) AS total,
+CASE WHEN id % 3 <> 0 THEN CASE style WHEN 5 THEN 'pack_count' WHEN 6 THEN 'single_title' WHEN 7 THEN 'blend_sum' END END AS source FROM v_listings""",
 )
 def suggest_total(spark, sf):
     # Every third listing has siblings, so its title says nothing about the one variant.
-    rows = Data(spark, sf).listings.where("not (id % 3 = 0 and style in (5, 7))").withColumns(
+    rows = Data(spark, sf).listings.withColumns(
         {"ingredient_form": F.lit(None).cast("string"), "servings": F.lit(None).cast("bigint"), "has_siblings": F.col("id") % 3 == 0, "variant_level": F.lit(False)}
     )
     return tot.suggest_total(rows).select("id", "suggestion.total", "suggestion.source")
@@ -295,7 +295,7 @@ def suggest_variants(spark, sf):
     return tot.suggest_total(rows).select("id", "suggestion.*")
 
 
-@query("source_labels", "SELECT id, CASE total_active_source WHEN 'blend_sum' THEN 'blend: sum of the listed parts' WHEN 'single_title' THEN 'single container, from the product title' ELSE '' END AS label FROM v_offers")
+@query("source_labels", "SELECT id, CASE total_active_source WHEN 'blend_sum' THEN 'parts of the mixture added up' WHEN 'single_title' THEN 'one amount, in the title' ELSE '' END AS label FROM v_offers")
 def source_labels(spark, sf):
     return Data(spark, sf).offers.select("id", tot.source_label(F.col("total_active_source")).alias("label"))
 
@@ -354,11 +354,11 @@ def blend_repair(spark, sf):
 
 @query(
     "probe_totals",
-    """SELECT id, CASE WHEN known_count IS NULL THEN 'missing' WHEN abs(known_strength * known_count - size) / size <= 0.01 THEN 'ok' ELSE 'wrong' END AS status,
-coalesce(known_count > 1 AND abs(known_strength - size) / size <= 0.01, false) AS strength_is_total, 'title' AS best_source FROM v_listings WHERE style IN (0, 3, 5, 6, 7)""",
+    """SELECT id, CASE WHEN known_count IS NULL OR style = 4 THEN 'missing' WHEN abs(known_strength * known_count - size) / size <= 0.01 THEN 'ok' ELSE 'wrong' END AS status,
+coalesce(known_count > 1 AND known_unit = 'mg' AND abs(known_strength - size) / size <= 0.01, false) AS strength_is_total, CASE WHEN style IN (1, 2, 4) THEN 'not_found' ELSE 'title' END AS best_source FROM v_listings""",
 )
 def probe_totals(spark, sf):
-    rows = Data(spark, sf).listings.where("style in (0, 3, 5, 6, 7)").withColumns(
+    rows = Data(spark, sf).listings.withColumns(
         {
             "truth": F.col("size").cast("double"), "truth_unit": F.lit("mg"), "current_strength": F.col("known_strength"),
             "current_strength_unit": F.col("known_unit"), "current_servings": F.col("known_count"),
@@ -426,10 +426,10 @@ def queue_without_total(spark, sf):
 
 @query(
     "review_order",
-    f"""SELECT id AS offer_id, visibility_status AS visibility FROM ({SCORED}) s ORDER BY CASE visibility_status WHEN 'active' THEN 0 WHEN 'paused' THEN 1 WHEN 'needs_review' THEN 2 WHEN 'pending' THEN 3 WHEN 'stale' THEN 4 ELSE 9 END, id LIMIT 200""",
+    f"""SELECT id AS offer_id, visibility_status AS visibility FROM ({SCORED}) s ORDER BY CASE visibility_status WHEN 'active' THEN 0 WHEN 'paused' THEN 1 WHEN 'needs_review' THEN 2 WHEN 'pending' THEN 3 WHEN 'stale' THEN 4 ELSE 9 END, id""",
 )
 def review_order(spark, sf):
-    return tot.review_order(diagnostic(spark, sf)).select("offer_id", "visibility").limit(200)
+    return tot.review_order(diagnostic(spark, sf)).select("offer_id", "visibility")
 
 
 @query(

@@ -209,7 +209,7 @@ def sitemap_urls(spark, sf):
         F.struct(F.concat("site", F.lit("/shop-1.xml")).alias("url"), F.concat(F.lit(ns), "zz", F.lit("</urlset>")).alias("xml")),
     )
     landed = per_site.select("site", F.explode(docs).alias("x")).select("site", "x.*")
-    return pg.sitemap_product_urls(landed, cap=100000)
+    return pg.sitemap_product_urls(landed)
 
 
 MAPPING = {

@@ -51,12 +51,12 @@ def extract_standardization(spark, sf):
 
 
 AMOUNTS = """CASE style WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 7 THEN 2 ELSE 1 END AS n,
-CASE style WHEN 1 THEN size + 1000 + 12000 WHEN 2 THEN CAST(size AS DOUBLE) / 1000 WHEN 3 THEN 403900.0 + size WHEN 7 THEN size + 5 ELSE size END"""
+CASE style WHEN 1 THEN size + 1000 + 12000 WHEN 2 THEN CAST(size AS DOUBLE) / 1000 WHEN 3 THEN 403900.0 + size WHEN 4 THEN NULL WHEN 7 THEN size + 5 ELSE size END"""
 
 
-@query("scan_amounts", f"SELECT id, {AMOUNTS} AS mg FROM v_listings WHERE style <> 4")
+@query("scan_amounts", f"SELECT id, {AMOUNTS} AS mg FROM v_listings")
 def scan_amounts(spark, sf):
-    found = listings(spark, sf).where("style <> 4").select("id", a.scan_amounts(t.decode_entities(_title())).alias("f"))
+    found = listings(spark, sf).select("id", a.scan_amounts(t.decode_entities(_title())).alias("f"))
     mg = F.aggregate(F.transform("f", lambda x: a.convert_unit(x["value"], x["unit"], F.lit("mg"))), F.lit(0.0), lambda s, v: s + v)
     return found.select("id", F.size("f").alias("n"), t.half_up(mg, 6).alias("mg"))
 
@@ -141,10 +141,10 @@ STOP = ", ".join(f"'{w}'" for w in t.TITLE_STOP_WORDS + t.TITLE_UNITS)
 @query(
     "normalize_title_documents",
     f"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace({ASCII.format(c='text')}, '([a-z])-([0-9])', '\\1\\2', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '),
-lambda w: w <> '' AND w NOT IN ({STOP}) AND NOT regexp_full_match(w, '[0-9]+(mg|mgs|mcg|ug|g|kg|iu|ml)?')), ' ') AS title FROM documents WHERE NOT contains(text, '&')""",
+lambda w: w <> '' AND w NOT IN ({STOP}) AND NOT regexp_full_match(w, '[0-9]+(mg|mgs|mcg|ug|g|kg|iu|ml)?')), ' ') AS title FROM documents""",
 )
 def normalize_documents(spark, sf):
-    docs = Data(spark, sf).table("documents").where(~F.contains("text", F.lit("&")))
+    docs = Data(spark, sf).table("documents")
     return docs.select("doc_id", t.normalize_title(F.col("text")).alias("title"))
 
 
@@ -166,10 +166,10 @@ def decode(spark, sf):
     return Data(spark, sf).table("pages").select("page_id", t.decode_entities(raw).alias("decoded"))
 
 
-@query("search_text", "SELECT id, concat(product_title, ' | Plain text. | ', p_name) AS found FROM v_listings WHERE style <> 2")
+@query("search_text", "SELECT id, concat(replace(product_title, '&amp;#8211;', '–'), ' | Plain text. | ', p_name) AS found FROM v_listings")
 def search_text(spark, sf):
     cols = [F.col("variant_title"), _title(), F.col("description"), F.col("p_name")]
-    return listings(spark, sf).where("style <> 2").select("id", t.search_text(*cols).alias("found"))
+    return listings(spark, sf).select("id", t.search_text(*cols).alias("found"))
 
 
 # --- attributes ------------------------------------------------------------------------------------------------------
@@ -296,9 +296,9 @@ def format_prices(spark, sf):
     )
 
 
-@query("pages_url_parts", "SELECT page_id, CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) IN ('', '/') THEN '' ELSE regexp_extract(rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), '([^/]*)$', 1) END AS handle FROM pages WHERE NOT contains(url, '/product')")
+@query("pages_url_parts", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^?#]*/products?/[^/?#]') THEN regexp_extract(url, '^https?://[^?#]*?/products?/([^/?#]+)', 1) WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) IN ('', '/') THEN '' ELSE regexp_extract(rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), '([^/]*)$', 1) END AS handle FROM pages")
 def url_parts(spark, sf):
-    return Data(spark, sf).table("pages").where(~F.contains("url", F.lit("/product"))).select("page_id", u.handle_of(F.col("url")).alias("handle"))
+    return Data(spark, sf).table("pages").select("page_id", u.handle_of(F.col("url")).alias("handle"))
 
 
 ENC = "replace(replace(replace(replace(replace(replace({c}, ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), ' ', '%20'), '&', '%26')"
@@ -320,10 +320,10 @@ def affiliate_urls(spark, sf):
 
 @query(
     "check_templates",
-    "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'bad scheme' WHEN 2 THEN concat('unknown: ', lower(n_name)) END AS problem FROM nation WHERE NOT contains(n_name, ' ')",
+    "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'bad scheme' WHEN 2 THEN CASE WHEN NOT contains(n_name, ' ') THEN concat('unknown: ', lower(n_name)) END END AS problem FROM nation",
 )
 def check_templates(spark, sf):
-    n = Data(spark, sf).table("nation").where(~F.contains("n_name", F.lit(" ")))
+    n = Data(spark, sf).table("nation")
     raw = F.element_at(
         F.array(F.lit(" "), F.lit("javascript:{handle}"), F.concat(F.lit("https://x/{"), F.lower("n_name"), F.lit("}{path}")), F.lit("{product_url}?a=1")),
         (F.col("n_nationkey") % 4 + 1).cast("int"),
