@@ -5,10 +5,11 @@ FIL-4..8, FIL-10, JOIN-15..17, 20, 21, 23..25, AGG-1..6, 10, 11, 19..22, 24, ORD
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank, strip_html, text
 from ..plans.ordered import top_n
@@ -419,16 +420,26 @@ SCHEMA_VERSION = 1
 
 
 def write_catalog(products: DataFrame, offers: DataFrame, path: str, now: datetime) -> None:
-    """SNK-2: write both tables as JSON lines; the job commit makes each visible only when whole.
+    """SNK-2: write both tables as JSON lines into a folder of their own, then publish it.
 
-    The small header is written last, so a reader that finds it finds the rest.
+    Publishing appends one small row that names the folder, so a reader sees the last
+    whole version while the next one is being written.
     """
-    products.write.mode("overwrite").json(f"{path}/canonical_products")
-    offers.write.mode("overwrite").json(f"{path}/offers")
+    version = f"{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex}"
+    products.write.json(f"{path}/{version}/canonical_products")
+    offers.write.json(f"{path}/{version}/offers")
     head = products.sparkSession.range(1).select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at")
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
+        F.lit(version).alias("version"),
     )
-    head.coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    head.coalesce(1).write.mode("append").json(f"{path}/published")
+
+
+def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The products and offers of the version published last."""
+    version = spark.read.json(f"{path}/published").agg(F.max("version")).first()[0]
+    return spark.read.json(f"{path}/{version}/canonical_products"), spark.read.json(f"{path}/{version}/offers")
 
 
 # The sort keys of the two public tables with the direction of a first click.

@@ -67,11 +67,13 @@ def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, b
     Clicks first shrink to counts per visitor and second; these are cut into time
     ranges, so the sliding sum never sees a visitor's whole history.  Inside one
     second the click ids decide who came earlier, and only the first ``threshold``
-    ids of a second are needed for that.
+    ids of a second are needed for that.  A click without a visitor is nobody's and
+    never flagged.
     """
     second = F.unix_timestamp("clicked_at")
     keyed = clicks.withColumn("_s", second)
-    per_second = keyed.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    known = keyed.where(F.col(by).isNotNull())
+    per_second = known.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
     span = max(seconds, 1) * 16
     # Each second also takes part in the ranges that look back on it.
     home = F.floor(F.col("_s") / span)
@@ -84,7 +86,7 @@ def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, b
         .select(by, "_s", "_before")
     )
     first_ids = (
-        top_n(keyed.select(by, "_s", "id"), [by, "_s"], [F.col("id")], threshold)
+        top_n(known.select(by, "_s", "id"), [by, "_s"], [F.col("id")], threshold)
         .groupBy(by, "_s")
         .agg(F.array_sort(F.collect_list("id")).alias("_ids"))
     )
@@ -96,8 +98,8 @@ def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, b
         F.when(room <= 0, F.lit(True)).otherwise(F.lit(False)).alias("_all"),
         F.when(room > 0, F.get("_ids", (room - 1).cast("int"))).alias("_after_id"),
     )
-    flagged = F.col("_all") | F.coalesce(F.col("id") > F.col("_after_id"), F.lit(False))
-    return keyed.join(limits, [by, "_s"]).withColumn("rapid_fire", flagged).select(*clicks.columns, "rapid_fire")
+    flagged = F.coalesce(F.col("_all"), F.lit(False)) | F.coalesce(F.col("id") > F.col("_after_id"), F.lit(False))
+    return keyed.join(limits, [by, "_s"], "left").withColumn("rapid_fire", flagged).select(*clicks.columns, "rapid_fire")
 
 
 def mark_bots(clicks: DataFrame, seconds: int = 60, threshold: int = 10) -> DataFrame:

@@ -21,17 +21,24 @@ class FeedReport:
     fatal: str | None = None
 
 
-def _read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Every cell as text, cells trimmed of nothing, short lines padded, unnamed columns dropped."""
-    raw = (
+def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, list[str]]:
+    """Every cell as text, cells trimmed of nothing, short lines padded, unnamed columns dropped.
+
+    Several files must have one header, without unnamed columns: another order or other
+    names are an error when the rows are read, as cells would land in wrong columns.
+    Without line breaks in cells ``multi_line=False`` lets large files be split.
+    """
+    reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
-        .csv(path)
     )
+    raw = reader.csv(path)
+    if len(raw.inputFiles()) > 1:
+        raw = reader.option("enforceSchema", False).csv(path)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     kept = [(old, new) for i, (old, new) in enumerate(zip(raw.columns, names)) if new and new != f"_c{i}"]
     # Rows of a file sit in one task in file order, so the row id minus the file's first id numbers them.

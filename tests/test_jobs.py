@@ -164,3 +164,76 @@ def test_settings_are_clamped():
 def test_validation_names_the_first_broken_rule(spark):
     rows = feed(spark, [("1", "", "T", "1")]).withColumns({"source": F.lit("ebay"), "stock_status": F.lit("?")})
     assert v.validate_rows(rows).first()["error"] == "source is not allowed"
+
+
+def test_raw_rows_keep_unknown_columns(spark):
+    import json
+
+    rows = feed(spark, [("1", "", "Zinc 50mg vial", "10")]).withColumn("shelf", F.lit("top"))
+    raw = json.loads(ingest(rows, tables(spark), 1, NOW).tables["raw"].first()["raw_json"])
+    assert raw["shelf"] == "top" and "row_num" not in raw and "merchant_id" not in raw
+
+
+def test_rapid_fire_keeps_clicks_without_a_visitor(spark):
+    rows = [(n, None if n < 20 else "v", NOW + timedelta(seconds=n % 20)) for n in range(40)]
+    out = k.flag_rapid_fire(spark.createDataFrame(rows, "id bigint, ip_hash string, clicked_at timestamp"), 60, 10).collect()
+    assert len(out) == 40 and {r["id"] for r in out if r["rapid_fire"]} == set(range(30, 40))
+
+
+def test_feeds_of_other_column_order_are_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.csv").write_text("slug,name\nx,X\n")
+    (tmp_path / "b.csv").write_text("name,slug\nY,y\n")
+    with pytest.raises(Exception, match="CSV header|conform"):
+        read_ingredients(spark, str(tmp_path)).collect()
+
+
+def test_catalog_versions(spark, tmp_path):
+    from pricebook.operators.catalog import read_catalog, write_catalog
+
+    a = spark.createDataFrame([(1, "a")], "id bigint, name string")
+    b = spark.createDataFrame([(2, "b"), (3, "c")], "id bigint, name string")
+    write_catalog(a, a, f"{tmp_path}/out", NOW)
+    old = read_catalog(spark, f"{tmp_path}/out")[0]
+    write_catalog(b, b, f"{tmp_path}/out", NOW + timedelta(minutes=1))
+    # The former version can still be read while and after the next one is written.
+    assert [r["id"] for r in old.collect()] == [1]
+    assert sorted(r["id"] for r in read_catalog(spark, f"{tmp_path}/out")[1].collect()) == [2, 3]
+
+
+def test_open_run_counts_each_batch_once_and_closes_all_merchants(spark):
+    from pricebook.streaming.jobs import IngestRun
+
+    start = ingest(feed(spark, [("1", "", "Zinc 50mg vial", "10"), ("2", "", "Zinc 5mg vial", "3")]), tables(spark), 1, NOW).tables
+    gone = spark.createDataFrame([(1, "9", "")], "merchant_id bigint, source_product_id string, source_variant_id string")
+    start = {**start, "suppressions": lc.suppress(start["suppressions"], gone, "manual", NOW)}
+    run = IngestRun(start, 2)
+    assert run.ledger() is None
+    step = run.batch(NOW + timedelta(days=1))
+    # All rows of the only batch are suppressed or in error: the merchant still took part.
+    page = feed(spark, [("9", "", "Zinc 1mg vial", "1"), ("8", "", "Zinc", "abc")])
+    step(page, 0)
+    step(page, 0)
+    counts = run.ledger().first()
+    assert counts["error_log"] == "row 3: current_price is not a number"
+    closed = run.close(NOW + timedelta(days=1))
+    assert {r["visibility_status"] for r in closed["offers"].collect()} == {"stale"}
+
+
+def test_price_changes_need_the_state_before(spark, tmp_path):
+    import pytest
+
+    from pricebook.streaming.jobs import PriceChanges
+
+    job = PriceChanges(str(tmp_path / "p"), ["key"], lambda: F.date_trunc("week", "observed_at"))
+    cols = "key string, observed_at timestamp, seq bigint, regular_price double, sale_price double, current_price double, stock_status string"
+
+    def batch(*rows):
+        return spark.createDataFrame([(key, NOW + timedelta(hours=h), n, None, None, price, "in_stock") for n, (key, h, price) in enumerate(rows)], cols)
+
+    job(batch(("a", 0, 1.0), ("b", 0, 5.0)), 0)
+    job(batch(("a", 1, 2.0), ("b", 1, 5.0), ("a", -5, 9.0)), 1)
+    assert [(r["key"], r["old_current_price"], r["new_current_price"]) for r in job.events(spark).collect()] == [("a", 1.0, 2.0)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        job(batch(("a", 2, 3.0)), 7)
