@@ -20,7 +20,8 @@ documents share, crowds of not quite near copies) are compared by dense sketches
 costs a few checks each, and nothing is dropped.
 
 Checks.  Pairs pass the sizes, then the Hamming distance of a dense sketch of 1024 bits, then the exact overlap of
-the sets, made again from one text for each set.
+the sets, made again from one text for each set.  First one pair for each set is checked; pairs connected by then
+are not.
 """
 
 from __future__ import annotations
@@ -408,8 +409,17 @@ def _linked(found: DataFrame, sets: DataFrame, rows: DataFrame, links: DataFrame
     wanted = pairs.select(F.col("a").alias("v"), F.col("rep_a").alias("rep")).union(pairs.select(F.col("b").alias("v"), F.col("rep_b").alias("rep"))).distinct()
     own = _picked(rows, wanted).groupBy("v").agg(F.first("text").alias("text"))
     own = materialize(own, "texts")
-    found = _checked(pairs.select("a", "b"), own, width, percent)
-    links = materialize(found if links is None else links.union(found), "links")
+    # First every set with its smallest neighbour, then what that leaves unconnected: a text goes out once or twice.
+    pairs = pairs.select("a", "b")
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    sure = _checked(first, own, width, percent)
+    links = materialize(sure if links is None else links.union(sure), "links")
+    roots = materialize(components(links), "roots")
+    x = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
+    y = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    rest = pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = materialize(links.union(_checked(rest, own, width, percent)), "links")
     return links, materialize(components(links), "roots")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pricebook.session import materialize
 
-from .tokens import BATCH_BYTES, ranges, slices
+from .tokens import ranges, slices
 
 SYMBOLS = 28
 OTHER = 27
@@ -34,7 +34,9 @@ TRAIN_ROWS = 20_000
 #: Features that a fit keeps at most.
 LEXICON = 20_000
 #: Words remembered by a worker.
-MEMORY = 300_000
+MEMORY = 100_000
+#: Bytes of text taken apart at once.
+RUN_BYTES = 2_000_000
 
 #: What signs may stand for besides themselves.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "ß": "b"}
@@ -197,7 +199,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
+            for batch in slices(whole, "text", RUN_BYTES):
                 raw = np.frombuffer("\n".join(t for t in batch.column(0).to_pylist() if t).encode(), np.uint8)
                 # The second and further bytes of a letter do not count.
                 code = table[raw[(raw & 0xC0) != 0x80]]
@@ -249,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, doc_id: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
+            for batch in slices(whole, "text", RUN_BYTES):
                 words = Restored(batch.column("text"), restorer)
                 names: dict[str, int] = {}
                 kinds = [tuple(names.setdefault(f, len(names)) for f in features(w)) for w in words.names]
@@ -299,7 +301,7 @@ def _margins(docs: DataFrame, scorer: Scorer, carried: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(scorer.model)
         for whole in batches:
-            for batch in slices(whole, len(carried), BATCH_BYTES):
+            for batch in slices(whole, len(carried), RUN_BYTES):
                 margin = scorer.margins(Restored(batch.column(len(carried)), restorer), known, weight)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margin.astype(np.float64))], names=[*carried, "margin"])
 
@@ -331,7 +333,7 @@ def restore(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for whole in batches:
-            for batch in slices(whole, where, BATCH_BYTES):
+            for batch in slices(whole, where, RUN_BYTES):
                 words = Restored(batch.column(where), restorer)
                 order = np.argsort(words.doc, kind="stable")
                 cuts = np.searchsorted(words.doc[order], np.arange(words.rows + 1))
