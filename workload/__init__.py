@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     catalog_queries,
+    file_queries,
     ingest_queries,
     match_queries,
     price_click_queries,
