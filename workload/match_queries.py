@@ -202,9 +202,7 @@ def rekey(spark, sf):
     return mem.rekey_memory(old).select("merchant_id", "title_key", "rekeyed")
 
 
-@query(
-    "rematch",
-    """, queue AS (SELECT o.*, p.p_name AS norm_title FROM v_offers o JOIN part p ON p.p_partkey = o.partkey WHERE o.visibility_status IN ('pending', 'needs_review') AND o.canonical_product_id IS NULL),
+REMATCHED = """, queue AS (SELECT o.*, p.p_name AS norm_title FROM v_offers o JOIN part p ON p.p_partkey = o.partkey WHERE o.visibility_status IN ('pending', 'needs_review') AND o.canonical_product_id IS NULL),
 peers AS (SELECT o.*, p.p_name AS norm_title FROM v_offers o JOIN v_canonicals c ON c.id = o.canonical_product_id AND c.status <> 'retired' JOIN part p ON p.p_partkey = o.partkey),
 mem AS (SELECT k.* FROM v_memory k JOIN v_canonicals c ON c.id = k.canonical_product_id AND c.status <> 'retired'),
 a AS (SELECT q.id, min(k.canonical_product_id) AS canonical FROM queue q JOIN mem k ON k.merchant_id = q.merchant_id AND k.title_key = q.norm_title GROUP BY 1),
@@ -217,7 +215,12 @@ e AS (SELECT q.id, arg_min(o.canonical_product_id, o.id) AS canonical FROM queue
   AND o.servings_per_container = q.servings_per_container GROUP BY 1),
 g AS (SELECT q.id, min(c.id) AS canonical FROM queue q JOIN v_canonicals c ON c.ingredient_id = q.ingredient_id AND c.ingredient_form IS NULL AND c.strength_per_serving IS NULL AND c.status <> 'retired' GROUP BY 1 HAVING count(*) = 1),
 r AS (SELECT q.id, coalesce(a.canonical, b.canonical, c.canonical, t.canonical, e.canonical, g.canonical) AS canonical FROM queue q LEFT JOIN a ON a.id = q.id LEFT JOIN b ON b.id = q.id
-  LEFT JOIN c ON c.id = q.id LEFT JOIN t ON t.id = q.id LEFT JOIN e ON e.id = q.id LEFT JOIN g ON g.id = q.id)
+  LEFT JOIN c ON c.id = q.id LEFT JOIN t ON t.id = q.id LEFT JOIN e ON e.id = q.id LEFT JOIN g ON g.id = q.id)"""
+
+
+@query(
+    "rematch",
+    f"""{REMATCHED}
 SELECT r.id, r.canonical AS canonical_product_id, q.ingredient_id, coalesce(q.ingredient_form, k.ingredient_form) AS ingredient_form,
 coalesce(q.standardization_percentage, k.standardization_percentage) AS standardization_percentage
 FROM r JOIN queue q ON q.id = r.id JOIN v_canonicals k ON k.id = r.canonical""",
@@ -230,7 +233,13 @@ def rematch(spark, sf):
     return out.select("id", "canonical_product_id", "ingredient_id", "ingredient_form", "standardization_percentage")
 
 
-@query("rematch_for_keys")
+@query(
+    "rematch_for_keys",
+    f"""{REMATCHED}
+SELECT r.id, r.canonical AS canonical_product_id FROM r JOIN queue q ON q.id = r.id
+WHERE r.canonical IS NOT NULL AND q.norm_title IN (SELECT title_key FROM v_memory WHERE merchant_id = 3 AND title_key <> '')""",
+    "v_offers v_canonicals v_memory v_ingredients",
+)
 def rematch_for_keys(spark, sf):
     d = Data(spark, sf)
     keys = d.memory.where("merchant_id = 3").select("title_key")
