@@ -79,10 +79,22 @@ def price_series(spark, sf):
     return p.price_series(d.offers, d.history, NOW, 7)
 
 
-@query(
-    "price_series_90_days_lows",
-    None,
-)
+# The lows need change points only: the level at the start of the window and the last price of each day with a change.
+LOWS = """, h AS (SELECT offer_id, CAST(changed_at AS DATE) AS day, {'t': changed_at, 'i': id} AS k, old_current_price AS old, new_current_price AS new
+  FROM v_history WHERE new_current_price IS NOT NULL AND CAST(changed_at AS DATE) <= DATE '2001-09-01'),
+whole AS (SELECT offer_id, arg_min(old, k) AS seed, arg_max(new, k) AS last, arg_max(new, k) FILTER (WHERE day < DATE '2001-06-04') AS before FROM h GROUP BY 1),
+daily AS (SELECT offer_id, day, arg_max(new, k) AS price FROM h WHERE day >= DATE '2001-06-04' GROUP BY 1, 2),
+o AS (SELECT o.id, o.canonical_product_id, w.offer_id IS NULL AS flat, o.current_price, w.seed, w.last, w.before FROM v_offers o LEFT JOIN whole w ON w.offer_id = o.id
+  WHERE o.canonical_product_id IS NOT NULL),
+p AS (SELECT canonical_product_id, CASE WHEN flat THEN current_price ELSE coalesce(before, seed) END AS price FROM o
+    WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.offer_id = o.id AND d.day = DATE '2001-06-04')
+  UNION ALL SELECT o.canonical_product_id, d.price FROM daily d JOIN o ON o.id = d.offer_id),
+low AS (SELECT canonical_product_id, min(price) AS window_low FROM p GROUP BY 1),
+cur AS (SELECT canonical_product_id, min(CASE WHEN flat THEN current_price ELSE last END) AS current_low FROM o GROUP BY 1)
+SELECT low.canonical_product_id, window_low, current_low, current_low <= window_low + 0.00005 AS at_low FROM low JOIN cur ON cur.canonical_product_id = low.canonical_product_id"""
+
+
+@query("price_series_90_days_lows", LOWS, "v_offers v_history")
 def price_series_90(spark, sf):
     d = Data(spark, sf)
     return p.window_low(p.price_series(d.offers, d.history, NOW, 90))
