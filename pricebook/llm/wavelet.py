@@ -53,9 +53,9 @@ class WaveletMatrix:
             ones = np.bitwise_count(pad.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
-            low = a[~bit]
+            low = a.take(np.flatnonzero(~bit))
             zeros.append(len(low))
-            a = np.concatenate([low, a[bit]])
+            a = np.concatenate([low, a.take(np.flatnonzero(bit))])
         return cls(n, planes, ranks, zeros)
 
     def _bit(self, level: int, i: int) -> int:
@@ -125,8 +125,8 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
-            up[~bit] = a[: self.zeros[level]]
-            up[bit] = a[self.zeros[level] :] | kind(1 << (levels - 1 - level))
+            up[np.flatnonzero(~bit)] = a[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = a[self.zeros[level] :] | kind(1 << (levels - 1 - level))
             a = up
         return a
 
