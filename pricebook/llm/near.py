@@ -15,7 +15,8 @@ Rows.  A part's key (hash of its parity bits, place and band) goes with the set'
 Copies are one number (a hash of the whole set), so they meet as one.  Keys shared by up to ``FEW`` sets give all
 pairs.  A key shared by more gives pairs with one set only, its centre.  When these are checked, a set is done if a link
 of it cannot hang on crowded keys alone: crowded keys whose sets are all connected do not count, and with every set
-that it is linked with it shares more keys than there are others.  Sets that are not done (passages that many
+that it is linked with it shares more keys than there are others.  (Of a set that was cut again one shared key is sure,
+so any other puts it among those that are not done.)  Sets that are not done (passages that many
 documents share, crowds of not quite near copies) are compared by dense sketches in blocks.  So a crowd of near copies
 costs a few checks each, and nothing is dropped.
 
@@ -164,7 +165,8 @@ def keys(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.nda
             filled = np.bincount(doc, minlength=len(sets.n))
             spare = filled[live] - bands.most[band[live]]
             entries.append((sets.number[live[spare > 0]].astype(_U) << _U(1)) + _U(upper))
-            slack.append(spare[spare > 0])
+            # A partner that stopped at an earlier cut has no keys of this one: with it one key is sure.
+            slack.append(np.minimum(spare[spare > 0], 1) if again else spare[spare > 0])
             live = live[spare <= 0]
             again += 1
     if not found:

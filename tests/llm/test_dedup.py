@@ -159,6 +159,21 @@ def test_every_key_crowded(spark, monkeypatch):
                 assert np.bitwise_count(np.bitwise_xor(*sets.sketches()[[a, b]]).view(np.uint64)).sum() <= len(found[a] ^ found[b])
 
 
+def test_hub_cut_again(spark):
+    # All shingles of the hub fall in one part, so it is cut again; its copies are linked with nothing but the hub.
+    for seed in range(10_000):
+        hub = " ".join(f"w{seed}x{k}" for k in range(8))
+        own = near.Sets(pa.array([hub]), 5)
+        bands = near.Bands(4, 80)
+        filled = [len(near._parts(own, np.array([0]), bands.of(own.n), bands, cut)[0]) for cut in (1, 2)]
+        if filled[0] == 1 and filled[1] > 2:
+            break
+    texts = [hub, *(f"{hub} own{k}" for k in range(80))]
+    ids = list(range(100, 181))
+    got = [tuple(r) for r in near_groups(frame(spark, texts, ids=ids), 5, 80).collect()]
+    assert sorted(got) == sorted(groups_by_hand(texts, ids, 5, 80)) and {c for _, _, c in got} == {100}
+
+
 def test_blocks_find_all(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 8)
     texts = near_texts()[:100]
