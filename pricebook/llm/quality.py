@@ -3,7 +3,7 @@
 All of it is DataFrame and SQL functions.  Each document gets a vector of transformed statistics.  Per language and
 source a centre and a covariance are fitted to the ``share`` of documents that lie closest: starting from medians and
 median absolute deviations, each concentration step keeps the documents up to that quantile of the Mahalanobis
-distance and fits again, which never raises the covariance's determinant.  A document beyond ``cut`` is rejected.
+distance and fits again, until the covariance's determinant stops falling.  A document beyond ``cut`` is rejected.
 
 Every step is an aggregate that combines before the shuffle, over a narrow table of statistics written once, joined
 with one small row per group; a language or source of any size is summed up in parts.  Groups of fewer than ``least``
@@ -30,8 +30,10 @@ def chi_square(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
-#: A chance of about 1e-12 under a normal law: the laws here have longer tails.
-CUT = chi_square(len(DIMENSIONS), 7.0)
+#: The 0.999 quantile.
+CUT = chi_square(len(DIMENSIONS), 3.0902)
+#: A fit goes on while a step lowers the logarithm of the covariance's determinant by more than this.
+STILL = 1e-3
 
 
 def with_counts(rows: DataFrame, width: int = 5) -> DataFrame:
@@ -141,7 +143,29 @@ def _step(rows: DataFrame, fit: DataFrame, share: float) -> DataFrame:
     return _cholesky(fitted.select("g", *(_named("m", i) for i in range(p)), *cells))
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cut: float = CUT, least: int = 100, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def _fitted(rows: DataFrame, share: float) -> DataFrame:
+    """Concentration steps until no group's determinant falls; a group whose own has stopped takes no further part.
+
+    The floors bound the determinants from below, so the steps end.
+    """
+    p = len(DIMENSIONS)
+    names = ["g", *(_named("m", i) for i in range(p)), *(_named("l", i, j) for i in range(p) for j in range(i + 1))]
+    size = sum((F.log(_named("l", i, i)) for i in range(1, p)), F.log(_named("l", 0, 0))) * 2
+    # The start's covariance is not of a share of the documents; the first step is always taken.
+    going = materialize(_step(rows, _start(rows), share), "fit")
+    done: DataFrame | None = None
+    while True:
+        new = _step(rows, going, share).withColumn("size", size)
+        old = going.select("g", size.alias("before"))
+        new = materialize(new.join(old, "g").withColumn("falls", F.col("size") < F.col("before") - STILL), "fit")
+        stopped = going.join(new.filter("NOT falls").select("g"), "g", "left_semi")
+        done = materialize(stopped if done is None else done.union(stopped.select(*done.columns)), "fit")
+        going = materialize(new.filter("falls").select(*names), "fit")
+        if going.isEmpty():
+            return done.select(*names)
+
+
+def judge(docs: DataFrame, share: float = 0.75, cut: float = CUT, least: int = 100, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row: doc_id, lang, source, the counts, base_failed, distance (squared, robust) and kept.
 
     A null text has no words and fails.  Null languages and sources are groups of their own.  Documents that fail the
@@ -163,11 +187,10 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cut: float = CUT
     columns = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     told = materialize(told.select(*columns, *_vector(), g.alias("g")), "statistics")
     good = told.filter("NOT base_failed")
-    fit = materialize(_start(good), "fit")
-    for _ in range(steps):
-        fit = materialize(_step(good, fit, share), "fit")
+    fit = _fitted(good, share)
     measured = told.join(fit, "g", "left").withColumn("distance", _distance())
-    # The fit covers the closest part of a group: its scale is mended so that the median is that of a normal law.
+    # The fit covers the closest part of a group: its scale is mended so that the median is at most that of a normal
+    # law. It may be less, as a statistic that hardly varies beside its floor adds nothing.
     middle = good.join(fit, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5).alias("middle"))
     scale = F.greatest(F.lit(1.0), F.coalesce("middle", F.lit(0.0)) / chi_square(len(DIMENSIONS), 0.0))
     measured = measured.join(materialize(middle, "fit"), "g", "left").withColumn("distance", F.col("distance") / scale)

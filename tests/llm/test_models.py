@@ -176,6 +176,17 @@ def test_quality_counts_and_outliers(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_repeated_short_lines_are_rejected(spark):
+    # Lines of three words between own paragraphs: no window of five words is found twice.
+    good = [prose(2_000 + k, 80) for k in range(150)]
+    junk = [("\n".join(f"more about this\n{prose(3_000 + 50 * k + i, 4)}{i}" for i in range(12))) for k in range(3)]
+    df = frame(spark, [*good, *junk], langs=("en",), sources=("a",))
+    got = judge(df).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 150)
+    assert sum(r["kept"] for r in got if r["doc_id"] < 150) >= 145
+
+
 def test_distance_is_mahalanobis(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 5)) @ r.normal(size=(5, 5))
