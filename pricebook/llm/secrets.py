@@ -2,8 +2,9 @@
 
 A candidate is a maximal run of a character class.  Over windows of a fixed width the entropy of the characters is
 kept by incremental counts: one character comes in, one goes out.  Windows at or above the class's threshold, with
-letters and digits, merge into spans.  Spans inside text on the allow list (addresses, URLs, UUIDs, alphabet
-sequences) are suppressed; spans of the fixed patterns always stay.
+letters and digits, merge into spans.  Runs of letters of one case and digits have classes of their own, which look for
+letters and digits in the whole run.  Spans inside text on the allow list (addresses, hosts and paths of URLs, UUIDs,
+alphabet sequences) are suppressed; spans of the fixed patterns always stay.
 
 Map-only: each row is scanned by itself, so nothing is shuffled and no group can be hot.
 """
@@ -27,7 +28,9 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG = re.compile(r"\S{20,}")
+_LONG = re.compile(r"\S{16,}")
+#: The user part of a URL.
+_USER = re.compile(r"(?i:[a-z][a-z0-9+.-]*)://([^\s/?#\"'<>]*)@")
 
 
 @dataclass(frozen=True)
@@ -40,15 +43,20 @@ class EntropyClass:
     bits: float
     #: What a window must hold besides.
     needs: tuple[str, ...]
+    #: It is enough that the run holds it.
+    by_run: bool = False
 
 
 CLASSES = (
     EntropyClass("hex", "0-9A-Fa-f", 24, 3.0, ("0-9", "A-Fa-f")),
     EntropyClass("base64", "A-Za-z0-9+/_=-", 20, 3.6, ("0-9", "A-Z", "a-z")),
+    EntropyClass("lower", "a-z0-9", 16, 3.25, ("0-9", "a-z"), True),
+    EntropyClass("upper", "A-Z0-9", 16, 3.25, ("0-9", "A-Z"), True),
 )
 
+#: Of a pattern with a group ``clean`` only that group is allowed: a URL's host and path, not its user part or parameters.
 ALLOW = (
-    r"(?i:https?|ftp)://[^\s\"'<>]+",
+    r"(?i:https?|ftp)://(?:[^\s/?#\"'<>]*@)?(?P<clean>[^\s?#\"'<>]+)",
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})",
     r"(?i:abcdefghijklmnop[a-z]*(?:0123456789)?)",
@@ -97,12 +105,15 @@ class Scanner:
                     if all(n.search(m[0]) for n in needs):
                         high += self._high(m[0], m.start(), c, needs)
         if high:
-            allowed = [m.span() for a in self.allow for m in a.finditer(text)]
+            users = [m.span(1) for m in _USER.finditer(text)]
+            allowed = [m.span("clean" if "clean" in a.groupindex else 0) for a in self.allow for m in a.finditer(text)]
+            # A password before a host is no address.
+            allowed = [(x, y) for x, y in allowed if not any(x < v and u < y for u, v in users)]
             found += [(a, b, 3) for a, b in _merge(high) if not any(x <= a and b <= y for x, y in allowed)]
         return sorted(found, key=lambda s: (s[0], s[2]))
 
     def _high(self, run: str, at: int, c: EntropyClass, needs: list[re.Pattern]) -> list[tuple[int, int]]:
-        return [(at + i, at + i + c.width) for i, bits in enumerate(entropies(run, c.width)) if bits >= c.bits and all(n.search(run, i, i + c.width) for n in needs)]
+        return [(at + i, at + i + c.width) for i, bits in enumerate(entropies(run, c.width)) if bits >= c.bits and (c.by_run or all(n.search(run, i, i + c.width) for n in needs))]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

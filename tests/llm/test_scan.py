@@ -58,6 +58,19 @@ def test_high_entropy_and_the_allow_list():
     assert kinds(f"token={MIXED}") == ["assign", "entropy"]
 
 
+@pytest.mark.parametrize("secret", ["k3x9q7m2v8t4z1w6", "k3x9q7m2v8t4z1w6p5r0", "JBSWY3DPEHPK3PXPQX2R", "GEZDGNBVGY3TQOJQ"])
+def test_secrets_of_one_case(secret):
+    assert kinds(f"see {secret} there") == ["entropy"]
+    assert kinds("internationalization INTERNATIONALIZATION 1234567890123456") == []
+
+
+def test_secrets_in_urls():
+    for url in (f"https://example.com/a?key={MIXED}", f"https://example.com/a#t={MIXED}", f"https://me:{MIXED}@example.com/a", f"postgres://me:{MIXED}@db.example.com/a"):
+        assert kinds(f"see {url} there") == ["entropy"]
+    assert kinds(f"see https://me@example.com/{MIXED}?a=b there") == []
+    assert kinds(f"write to {MIXED}@example.com") == []
+
+
 def test_odd_rows_and_redaction(spark):
     df = frame(spark, [*ODD, f"é token = '{MIXED}' and {KEY}", f"é token = '{MIXED}' and {KEY}"], ids=[*ODD_IDS, 50, 50])
     got = scan(df, redact="[secret]").collect()
