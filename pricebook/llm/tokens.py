@@ -3,13 +3,14 @@
 A byte-level tokenizer cuts a text at every single space between two characters that are not white space: no
 token crosses such a cut.  So a text's ids are the ids of its pieces, and each distinct piece of a batch is
 encoded once, by one call of the ``tokenizers`` library for thousands of pieces; the ids are dealt back by their
-byte lengths, which are checked.  Texts with other white space next to a space are encoded whole.
+byte lengths, which are checked.  Texts with other white space next to a space, or with an added token of the file, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -56,7 +57,6 @@ class TextEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.no_padding()
         self.tok.no_truncation()
         size = self.tok.get_vocab_size()
@@ -68,6 +68,10 @@ class TextEncoder:
         for token, i in self.tok.get_vocab().items():
             self.width[i] = len(token) if set(token) <= letters else len(token.encode())
         self.seen: dict[str, bytes | None] = {}
+        # A text that holds an added token is encoded whole: the library cuts it there before anything else.
+        contents = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
+        self.spaced = [c for c in contents if " " in c]
         # The library's byte-level cutting makes a space and letters one word, and the punctuation after it another.
         cutting = json.loads(self.tok.to_str())
         self.by_words = cutting["normalizer"] is None and cutting["pre_tokenizer"].get("type") == "ByteLevel" and cutting["pre_tokenizer"].get("use_regex", False) and not cutting["pre_tokenizer"].get("add_prefix_space", True)
@@ -104,6 +108,10 @@ class TextEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Remembers the ids of pieces that follow a space; None for a piece that a text must not be cut at."""
+        if self.added:
+            held = [w for w in new if self.added.search(w)]
+            self.seen.update(dict.fromkeys(held))
+            new = [w for w in new if w not in self.seen]
         good = [w for w in new if not self._learn_word(w)] if self.by_words else new
         bad = {w for w in good if w[:1].isspace() or w[-1:].isspace() or not w}
         self.seen.update(dict.fromkeys(bad))
@@ -142,6 +150,8 @@ class TextEncoder:
             whole = np.array([k is None for k in table])
             odd = np.add.reduceat(whole[index].astype(np.int64), at[:-1]) > 0
             table = [k or b"" for k in table]
+        for c in self.spaced:
+            odd |= pc.match_substring(pc.fill_null(texts, ""), c).to_numpy(zero_copy_only=False)
         heads: dict[int, bytes] = {}
         first = []
         for i, (o, k) in enumerate(zip(odd.tolist(), index[at[:-1]].tolist(), strict=True)):

@@ -35,6 +35,15 @@ def test_encoding_of_odd_texts():
     assert encoded(["<|endoftext|> it's", " a  b ", "a\u0085b c", "x.y, z!!"]) == plain(["<|endoftext|> it's", " a  b ", "a\u0085b c", "x.y, z!!"])
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "it's<|endoftext|>x", "<|endoftext|> it's  b", "<|endof text|> c", "plain words"]
+    want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(texts) == want and want[0] == [50256]
+
+
 def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 50, None, "b" * 10_000, "", "c"]})
     parts = list(slices(batch, "t", 600))
