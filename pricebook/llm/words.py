@@ -31,16 +31,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a string column: ``start``/``end`` (bytes in ``data``), ``doc`` (row), ``hash``; ``first`` word of each row."""
+    """The words of a string column: ``start``/``end`` (bytes in ``data``), ``doc`` (row), ``hash``; ``first`` word of each row.
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    ``space`` says of each byte whether it parts words (of the ASCII ones only, so that no character is cut).
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
         at, n = at - at[0], int(at[-1] - at[0])
         data = np.zeros(n + 8, np.uint8)
         data[:n] = _LOWER[raw] if lower else raw
-        word = ~_SPACE[data[:n]]
+        word = ~space[data[:n]]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         start = word & edge[:n]
