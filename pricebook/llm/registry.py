@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import dedup_queries, language_queries, media_queries, mixing_queries, quality_queries, scan_queries, token_queries, toxicity_queries  # noqa: F401
+from . import (  # noqa: F401
+    decontaminate_queries,
+    dedup_queries,
+    language_queries,
+    media_queries,
+    mixing_queries,
+    quality_queries,
+    scan_queries,
+    spelling_queries,
+    token_queries,
+    toxicity_queries,
+)
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
