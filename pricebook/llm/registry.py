@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     dedup_queries,
     language_queries,
     media_queries,
+    merkle_queries,
     mixing_queries,
     quality_queries,
     scan_queries,
