@@ -166,8 +166,8 @@ def run_counters(spark, sf):
 @query(
     "close_run",
     f"""SELECT o.run_id, count_if(outcome = 'errored') AS errored, coalesce(max(l.error_log), '') AS error_log FROM ({OUTCOMES}) o LEFT JOIN (
-SELECT run_id, concat(string_agg(line, chr(10) ORDER BY row_num) FILTER (rn <= 50), CASE WHEN count(*) > 50 THEN concat(chr(10), '… and ', CAST(count(*) - 50 AS STRING), ' more') ELSE '' END) AS error_log
-FROM (SELECT run_id, row_num, concat('row ', CAST(row_num AS STRING), ': ', final_error) AS line, row_number() OVER (PARTITION BY run_id ORDER BY row_num) AS rn
+SELECT run_id, concat(string_agg(line, chr(10) ORDER BY row_num, line) FILTER (rn <= 50), CASE WHEN count(*) > 50 THEN concat(chr(10), '… and ', CAST(count(*) - 50 AS STRING), ' more') ELSE '' END) AS error_log
+FROM (SELECT run_id, row_num, concat('row ', CAST(row_num AS STRING), ': ', final_error) AS line, row_number() OVER (PARTITION BY run_id ORDER BY row_num, final_error) AS rn
 FROM ({OUTCOMES}) b WHERE final_error IS NOT NULL) e GROUP BY 1) l ON l.run_id = o.run_id GROUP BY 1""",
 )
 def close_run(spark, sf):
