@@ -1,9 +1,9 @@
 """Matching listings to catalog products (JOIN-4..14, JOB-1..3).
 
 Each tier is an inner join of narrow rows (offer id and key) with peers that were
-first reduced to one row per key.  The tiers' hits are put together and the first
-tier in cascade order wins, so no wide row is shuffled per tier and rows without
-a key never reach a join.
+first reduced to one row per key.  The cascade joins the keys of all tiers at once
+with an index of the stored offers, and the first tier in cascade order wins, so no
+wide row is shuffled and rows without a key never reach the join.
 """
 
 from __future__ import annotations
@@ -293,43 +293,161 @@ def tier_ingredient_only(df: DataFrame, canonicals: DataFrame) -> DataFrame:
 
 
 def with_title_keys(df: DataFrame) -> DataFrame:
-    """Store the normalized title and the memory key, so that tiers join on plain columns."""
-    return df.withColumns({"norm_title": normalize_title(F.col("product_title")), "title_key": title_key(F.col("product_title"))})
+    """Store the normalized title and the memory key, so that tiers join on plain columns; stored ones are kept."""
+    rules = {"norm_title": normalize_title, "title_key": title_key}
+    return df.withColumns({c: rule(F.col("product_title")) for c, rule in rules.items() if c not in df.columns})
 
 
-def match_cascade(df: DataFrame, offers: DataFrame, memory: DataFrame, canonicals: DataFrame) -> DataFrame:
+_GAP = "\u0001"
+
+
+def _key(*parts: Column) -> Column:
+    """The parts as one key; null unless all are filled."""
+    filled = reduce(lambda a, b: a & b, [~blank(p.cast("string")) for p in parts])
+    return F.when(filled, F.concat_ws(_GAP, *[p.cast("string") for p in parts]))
+
+
+def match_index(offers: DataFrame) -> DataFrame:
+    """The keys by which matched offers are found: kind, a, b, strength, servings, canonical_product_id and peer (the lowest id).
+
+    One row per key and catalog product, whatever the number of offers, so that whether a product is still live
+    is asked when the index is read.  Offers are counted together by their titles as they are before a title is
+    normalized, so each title is normalized once; offers that store ``norm_title`` are not normalized at all.
+    """
+    stored = "norm_title" in offers.columns
+    brand = F.lower("brand")
+    dose = [F.col("strength_per_serving").cast("double"), F.col("servings_per_container").cast("bigint")]
+
+    def entry(kind: str, a: Column, b: Column, strength: Column, servings: Column) -> Column:
+        values = {"kind": F.lit(kind), "a": a.cast("string"), "b": b.cast("string"), "strength": strength, "servings": servings}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    none = [F.lit(None).cast("double"), F.lit(None).cast("bigint")]
+    title = F.col("norm_title" if stored else "product_title")
+    entries = F.array(
+        entry("barcode", F.col("barcode"), F.lit("-"), *none), entry("sku", brand, F.col("sku"), *none), entry("title", F.coalesce(brand, F.lit("")), title, *dose)
+    )
+    keyed = (
+        offers.where(F.col("canonical_product_id").isNotNull())
+        .select("id", "canonical_product_id", F.explode(entries).alias("e"))
+        .select("id", "canonical_product_id", "e.*")
+        .where(~blank(F.col("b")) & ((F.col("kind") == "title") | ~blank(F.col("a"))))
+    )
+    group = ["kind", "a", "b", "strength", "servings", "canonical_product_id"]
+    index = materialize(keyed.groupBy(*group).agg(F.min("id").alias("peer")), "index")
+    if stored:
+        return index
+    titles = index.where(F.col("kind") == "title").groupBy("b").agg(F.lit(True).alias("_t"))
+    titles = materialize(titles.select("b", normalize_title(F.col("b")).alias("_norm")), "titles")
+    named = index.where(F.col("kind") == "title").join(titles, "b").withColumn("b", F.col("_norm")).select(*index.columns)
+    return index.where(F.col("kind") != "title").unionByName(named)
+
+
+def _targets(index: DataFrame, memory: DataFrame, canonicals: DataFrame) -> DataFrame:
+    """What each key leads to: tier, key, cell, strength, pct, peer, canonical_product_id, n; ``cell`` is 0 where no strength counts."""
+    usable = canonicals.where(F.col("status") != "retired")
+    live = index.join(usable.select(F.col("id").alias("canonical_product_id")), "canonical_product_id", "left_semi")
+    a, b, servings = F.col("a"), F.col("b"), F.col("servings")
+    by_kind = {"brand_title": _key(a, b), "brand_title_dose": _key(a, b, servings), "title_dose": _key(b, servings)}
+    doses = [F.when(F.col("strength").isNotNull(), by_kind[t]) if t.endswith("dose") else by_kind[t] for t in by_kind]
+    titles = F.filter(F.array(*[F.struct(F.lit(_ORDER[t]).alias("tier"), k.alias("key")) for t, k in zip(by_kind, doses, strict=True)]), lambda e: e["key"].isNotNull())
+    plain = F.array(F.struct(F.when(F.col("kind") == "barcode", _ORDER["barcode"]).otherwise(_ORDER["brand_sku"]).alias("tier"), F.when(F.col("kind") == "barcode", a).otherwise(_key(a, b)).alias("key")))
+    peers = live.select("canonical_product_id", "peer", "strength", F.explode(F.when(F.col("kind") == "title", titles).otherwise(plain)).alias("e")).select("canonical_product_id", "peer", "strength", "e.*")
+    peers = peers.withColumn("strength", F.when(F.col("tier").isin(_ORDER["brand_title_dose"], _ORDER["title_dose"]), F.col("strength")))
+    peers = peers.groupBy("tier", "key", "strength").agg(F.min(F.struct("peer", "canonical_product_id")).alias("f"), F.lit(1).cast("bigint").alias("n")).select("tier", "key", "strength", F.lit(None).cast("double").alias("pct"), "f.*", "n")
+
+    known = _live_memory(memory, canonicals)
+
+    def learned(tier: str, key: Column, agreed: bool) -> DataFrame:
+        first = known.groupBy(key.alias("key")).agg(F.min("canonical_product_id").alias("canonical_product_id"), F.max("canonical_product_id").alias("_max"))
+        first = first.where(F.col("canonical_product_id") == F.col("_max")) if agreed else first
+        return _target(first, tier)
+
+    pinned = (
+        usable.where(F.col("strength_per_serving").isNotNull())
+        .groupBy(
+            _key(F.col("ingredient_id"), F.col("ingredient_form")).alias("key"), F.col("strength_per_serving").cast("double").alias("strength"),
+            F.coalesce(F.col("standardization_percentage").cast("double"), F.lit(-1.0)).alias("pct"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("canonical_product_id"))
+    )
+    open_ = usable.where(F.col("ingredient_form").isNull() & F.col("strength_per_serving").isNull()).groupBy(F.col("ingredient_id").cast("string").alias("key"))
+    single = open_.agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("canonical_product_id")).where(F.col("_n") == 1)
+    parts = [
+        peers,
+        learned("memory_own", _key(F.col("merchant_id"), F.col("title_key")), False),
+        learned("memory_others", F.col("title_key"), True),
+        _target(pinned, "canonical_attrs"),
+        _target(single, "ingredient_only"),
+    ]
+    every = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull())
+    return every.withColumn("cell", F.coalesce(_cell(F.col("strength")), F.lit(0).cast("bigint")))
+
+
+def _target(df: DataFrame, tier: str) -> DataFrame:
+    have = {"strength": F.lit(None).cast("double"), "pct": F.lit(None).cast("double"), "n": F.lit(1).cast("bigint")}
+    more = [F.col(c) if c in df.columns else v.alias(c) for c, v in have.items()]
+    return df.select(F.lit(_ORDER[tier]).alias("tier"), "key", *more, F.lit(None).cast("bigint").alias("peer"), F.col("canonical_product_id").cast("bigint").alias("canonical_product_id"))
+
+
+def probe_keys(probe: DataFrame) -> DataFrame:
+    """Every key of a listing: id, found_strength, found_pct, tier, key, cell (three cells where a strength counts)."""
+    brand, norm, key, servings = F.lower("brand"), F.col("norm_title"), F.col("title_key"), F.col("found_servings").cast("bigint")
+    plain = {
+        "barcode": _key(F.col("barcode")), "brand_sku": _key(brand, F.col("sku")), "memory_own": _key(F.col("merchant_id"), key), "memory_others": _key(key),
+        "brand_title": _key(brand, norm), "ingredient_only": F.col("found_ingredient_id").cast("string"),
+    }
+    has_strength = F.col("found_strength").isNotNull()
+    dosed = {
+        "canonical_attrs": F.when(F.col("found_strength") != 0, _key(F.col("found_ingredient_id"), F.col("found_form"))),
+        "brand_title_dose": F.when(has_strength, _key(brand, norm, servings)), "title_dose": F.when(has_strength, _key(norm, servings)),
+    }
+
+    def entry(tier: str, k: Column, cell: Column) -> Column:
+        return F.struct(F.lit(_ORDER[tier]).alias("tier"), k.alias("key"), cell.alias("cell"))
+
+    cells = [_cell(F.col("found_strength")) + d for d in (-1, 0, 1)]
+    entries = [entry(t, k, F.lit(0).cast("bigint")) for t, k in plain.items()] + [entry(t, k, c) for t, k in dosed.items() for c in cells]
+    rows = probe.select("id", "found_strength", "found_pct", F.explode(F.filter(F.array(*entries), lambda e: e["key"].isNotNull())).alias("e"))
+    return rows.select("id", F.col("found_strength").cast("double").alias("found_strength"), F.col("found_pct").cast("double").alias("found_pct"), "e.*")
+
+
+def match_cascade(df: DataFrame, offers: DataFrame | None, memory: DataFrame, canonicals: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """JOIN-14: (id, canonical_product_id, confidence, tier) of the first tier that hits.
 
-    The order of the tiers decides, not the confidence.  ``df`` comes from
-    :func:`normalize_offers`; ``offers`` is the table as of the start of the run.
+    The order of the tiers decides, not the confidence.  ``df`` comes from :func:`normalize_offers`; ``offers`` is the
+    table as of the start of the run, or ``index`` its :func:`match_index`.  All tiers are one equality join of narrow
+    rows: a listing's keys with the one row that each key leads to.
     """
-    # The text rules ran once; every tier reads their results, so both sides are written first.
     found = ["found_ingredient_id", "found_form", "found_strength", "found_servings", "found_pct"]
-    probe = materialize(with_title_keys(df).select("id", "merchant_id", "barcode", "brand", "sku", "norm_title", "title_key", *found), "probe")
-    peers = with_title_keys(live_peers(offers, canonicals)).select(
-        "id", "canonical_product_id", "barcode", "brand", "sku", "norm_title", "strength_per_serving", "servings_per_container"
+    probe = with_title_keys(df).select("id", "merchant_id", "barcode", "brand", "sku", "norm_title", "title_key", *found)
+    # The title rules ran once; every key reads their results.
+    keys = probe_keys(materialize(probe, "probe"))
+    targets = _targets(match_index(offers) if index is None else index, memory, canonicals)
+    attrs, dosed = _ORDER["canonical_attrs"], [_ORDER["brand_title_dose"], _ORDER["title_dose"]]
+    close = F.abs(F.col("strength") - F.col("found_strength")) < STRENGTH_TOLERANCE
+    same_pct = F.col("found_pct").isNull() | (F.abs(F.col("pct") - F.col("found_pct")) < 0.5)
+    tier = F.col("tier")
+    hits = keys.join(targets, ["tier", "key", "cell"]).where(
+        F.when(tier == attrs, close & same_pct).when(tier.isin(dosed), close).otherwise(F.lit(True))
     )
-    peers = materialize(peers, "peers")
-    hits = [
-        tier_barcode(probe, peers),
-        tier_brand_sku(probe, peers),
-        tier_memory_own(probe, memory, canonicals),
-        tier_memory_others(probe, memory, canonicals),
-        tier_canonical_attrs(probe, canonicals),
-        tier_brand_title(probe, peers),
-        tier_brand_title_dose(probe, peers),
-        tier_title_dose(probe, peers),
-        tier_ingredient_only(probe, canonicals),
-    ]
-    every = reduce(DataFrame.unionByName, hits)
-    best = every.groupBy("id").agg(F.min_by(F.struct("canonical_product_id", "confidence", "tier"), "tier").alias("_b"))
-    names = F.array(*[F.lit(n) for n, _ in TIERS])
-    return best.select("id", "_b.canonical_product_id", "_b.confidence", F.get(names, F.col("_b.tier")).alias("tier"))
+    # A catalog product by its attributes counts only if it is the only one; the tiers before and after it just need a hit.
+    choice = F.struct("tier", "peer", "canonical_product_id")
+    best = hits.groupBy("id").agg(
+        F.min(F.when(tier < attrs, choice)).alias("_before"),
+        F.sum(F.when(tier == attrs, F.col("n"))).alias("_n"),
+        F.min(F.when(tier == attrs, choice)).alias("_attrs"),
+        F.min(F.when(tier > attrs, choice)).alias("_after"),
+    )
+    best = best.select("id", F.coalesce("_before", F.when(F.col("_n") == 1, F.col("_attrs")), "_after").alias("_b")).where(F.col("_b").isNotNull())
+    at = F.col("_b.tier")
+    names, sure = F.array(*[F.lit(n) for n, _ in TIERS]), F.array(*[F.lit(c) for _, c in TIERS])
+    return best.select("id", F.col("_b.canonical_product_id").cast("bigint").alias("canonical_product_id"), F.get(sure, at).alias("confidence"), F.get(names, at).alias("tier"))
 
 
-def match_offers(df: DataFrame, offers: DataFrame, memory: DataFrame, canonicals: DataFrame) -> DataFrame:
+def match_offers(df: DataFrame, offers: DataFrame | None, memory: DataFrame, canonicals: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """JOB-2: add matched_canonical_id, match_confidence and match_tier to each listing."""
-    hits = match_cascade(df, offers, memory, canonicals).select(
+    hits = match_cascade(df, offers, memory, canonicals, index).select(
         "id",
         F.col("canonical_product_id").alias("matched_canonical_id"),
         F.col("confidence").alias("match_confidence"),

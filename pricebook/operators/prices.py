@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import half_up, text
 from ..plans.ordered import with_previous
+from ..session import materialize
 
 # Fixed value: prices closer than this are the same price.
 SAME_PRICE = 0.00005
@@ -88,13 +89,11 @@ def offer_history(history: DataFrame, offer_id: int, limit: int = 50) -> DataFra
     return history.where(F.col("offer_id") == offer_id).orderBy(F.desc("changed_at"), F.desc("id")).limit(limit)
 
 
-def price_series(offers: DataFrame, history: DataFrame, now: datetime, days: int = 90) -> DataFrame:
-    """PRC-4: (canonical_product_id, day, avg_price, low_price, offers) for each day of the window.
+def _intervals(offers: DataFrame, history: DataFrame, now: datetime, days: int) -> DataFrame:
+    """(canonical_product_id, start, stop, price): the levels of each offer in the window, in days from its first one.
 
-    Each offer is a step function of its change rows: the price before the first row
-    is that row's old price, and an offer without rows is flat.  The rows before the
-    window shrink to one state per offer and the window holds at most one price per
-    offer and day, so no group grows with the length of the history.
+    An offer is a step function of its change rows: the price before the first row is that row's old price, and an
+    offer without rows is flat.  The rows before the window shrink to one state per offer, those of a day to its last.
     """
     today = F.to_date(F.lit(now).cast("timestamp"))
     start = F.date_sub(today, days - 1)
@@ -104,35 +103,66 @@ def price_series(offers: DataFrame, history: DataFrame, now: datetime, days: int
     )
     # Days before the window fold into the slot -1.
     slot = F.when(F.col("_day") < start, F.lit(-1)).otherwise(F.date_diff(F.col("_day"), start))
-    daily = rows.groupBy("offer_id", slot.alias("_slot")).agg(
-        F.max_by("_new", "_at").alias("_price"), F.min(F.struct("_at", "_old")).alias("_first")
-    )
+    daily = rows.groupBy("offer_id", slot.alias("_slot")).agg(F.max_by("_new", "_at").alias("_price"), F.min(F.struct("_at", "_old")).alias("_first"))
     per_offer = daily.groupBy("offer_id").agg(
-        F.array_sort(F.collect_list(F.struct("_slot", "_price"))).alias("_steps"),
-        F.min_by(F.col("_first._old"), F.col("_first._at")).alias("_seed"),
+        F.array_sort(F.collect_list(F.struct("_slot", "_price"))).alias("_steps"), F.min_by(F.col("_first._old"), F.col("_first._at")).alias("_seed")
     )
     priced = offers.where(F.col("canonical_product_id").isNotNull()).select(
         F.col("id").alias("offer_id"), "canonical_product_id", F.col("current_price").cast("double").alias("_now")
     )
-    joined = priced.join(per_offer, "offer_id", "left")
     level = F.when(F.col("_steps").isNull(), F.col("_now")).otherwise(F.col("_seed"))
-    series = F.transform(
-        F.sequence(F.lit(0), F.lit(days - 1)),
-        lambda d: F.struct(
-            d.alias("d"),
-            F.coalesce(F.try_element_at(F.filter("_steps", lambda s: s["_slot"] <= d), F.lit(-1))["_price"], level).alias("p"),
-        ),
-    )
-    return (
-        joined.select("canonical_product_id", F.explode(series).alias("s"))
-        .where(F.col("s.p").isNotNull())
-        .groupBy("canonical_product_id", F.date_add(start, F.col("s.d")).alias("day"))
-        .agg(
-            half_up(F.sum(F.col("s.p").cast("decimal(20,4)")).cast("double") / F.count(F.lit(1)), 4).alias("avg_price"),
-            F.min("s.p").alias("low_price"),
-            F.count(F.lit(1)).alias("offers"),
-        )
+    seed = F.array(F.struct(F.lit(0).alias("at"), level.alias("price")))
+    steps = F.transform(F.coalesce("_steps", F.array().cast("array<struct<_slot:int,_price:double>>")), lambda s: F.struct(F.greatest(s["_slot"], F.lit(0)).alias("at"), s["_price"].alias("price")))
+    joined = priced.join(per_offer, "offer_id", "left").select("canonical_product_id", F.concat(seed, steps).alias("_l"))
+    spans = F.transform("_l", lambda x, i: F.struct(x["at"].alias("start"), F.coalesce(F.get("_l", i + 1)["at"], F.lit(days)).alias("stop"), x["price"].alias("price")))
+    spans = F.filter(spans, lambda x: (x["start"] < x["stop"]) & x["price"].isNotNull())
+    return joined.select("canonical_product_id", F.inline(spans))
+
+
+def _dyadic(days: int) -> Column:
+    """The aligned ranges of 2, 4, 8, ... days that make up [start, stop): array of (width, node), a few for each interval."""
+
+    def at(k: int) -> list[Column]:
+        low, high = F.ceil(F.col("start") / (1 << k)).cast("int"), F.floor(F.col("stop") / (1 << k)).cast("int")
+        inside = low < high
+        return [
+            F.when(inside & (low % 2 == 1), F.struct(F.lit(1 << k).alias("width"), low.alias("node"))),
+            F.when(inside & (high % 2 == 1), F.struct(F.lit(1 << k).alias("width"), (high - 1).alias("node"))),
+        ]
+
+    return F.array_compact(F.array(*[n for k in range(days.bit_length()) for n in at(k)]))
+
+
+def price_series(offers: DataFrame, history: DataFrame, now: datetime, days: int = 90) -> DataFrame:
+    """PRC-4: (canonical_product_id, day, avg_price, low_price, offers) for each day of the window.
+
+    A sweep over change points: an interval of an offer's level adds to its product's sum and count on its first day and
+    takes the same away on the day after its last, and running totals give every day.  The lowest price cannot be taken
+    away again, so an interval leaves its price at the few aligned ranges of days that make it up, and a day asks the
+    ranges it lies in.  So offers leave a few rows each, whatever the window, and a product keeps some rows per day,
+    whatever the number of its offers.
+    """
+    start = F.date_sub(F.to_date(F.lit(now).cast("timestamp")), days - 1)
+    spans = materialize(_intervals(offers, history, now, days), "spans")
+    exact = F.col("price").cast("decimal(20,4)")
+    edges = F.array(
+        F.struct(F.col("start").alias("d"), exact.alias("price"), F.lit(1).alias("n")), F.struct(F.col("stop").alias("d"), (-exact).alias("price"), F.lit(-1).alias("n"))
+    )
+    deltas = spans.select("canonical_product_id", F.inline(edges)).groupBy("canonical_product_id", "d").agg(F.sum("price").alias("price"), F.sum("n").alias("n"))
+    # At most one row per product and day from here on.
+    run = W.partitionBy("canonical_product_id").orderBy("d")
+    levels = deltas.select(
+        "canonical_product_id", "d", F.sum("price").over(run.rowsBetween(W.unboundedPreceding, 0)).alias("price"), F.sum("n").over(run.rowsBetween(W.unboundedPreceding, 0)).alias("n"),
+        F.coalesce(F.lead("d").over(run), F.lit(days)).alias("until"),
+    )
+    totals = levels.where((F.col("n") > 0) & (F.col("d") < F.col("until"))).select(
+        "canonical_product_id", F.explode(F.sequence(F.col("d"), F.col("until") - 1)).alias("d"), half_up(F.col("price").cast("double") / F.col("n"), 4).alias("avg_price"), F.col("n").alias("offers")
     )
+    nodes = spans.select("canonical_product_id", "price", F.inline(_dyadic(days))).groupBy("canonical_product_id", "width", "node").agg(F.min("price").alias("price"))
+    first = F.col("width") * F.col("node")
+    covered = nodes.select("canonical_product_id", "price", F.explode(F.sequence(first, first + F.col("width") - 1)).alias("d"))
+    lows = covered.groupBy("canonical_product_id", "d").agg(F.min("price").alias("low_price"))
+    return totals.join(lows, ["canonical_product_id", "d"]).select("canonical_product_id", F.date_add(start, F.col("d")).alias("day"), "avg_price", "low_price", "offers")
 
 
 def move_counts(offers: DataFrame, history: DataFrame, now: datetime, days: int = 90) -> DataFrame:
