@@ -61,19 +61,24 @@ def clicks_with_names(counted: DataFrame, by: str, dim: DataFrame, names: dict[s
     return counted.join(d, by, "left")
 
 
-def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, by: str = "ip_hash") -> DataFrame:
+def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, by: str = "ip_hash", earlier: DataFrame | None = None) -> DataFrame:
     """WIN-2: add rapid_fire: at least ``threshold`` earlier clicks of the same visitor within ``seconds``.
 
     Clicks first shrink to counts per visitor and second; these are cut into time
     ranges, so the sliding sum never sees a visitor's whole history.  Inside one
     second the click ids decide who came earlier, and only the first ``threshold``
     ids of a second are needed for that.  A click without a visitor is nobody's and
-    never flagged.
+    never flagged.  ``earlier`` (the visitor column, second, n) counts clicks that
+    arrived before all of these.
     """
     second = F.unix_timestamp("clicked_at")
     keyed = clicks.withColumn("_s", second)
     known = keyed.where(F.col(by).isNotNull())
-    per_second = known.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("bigint")
+    per_second = known.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"), zero.alias("_old"))
+    if earlier is not None:
+        old = earlier.where(F.col(by).isNotNull()).select(by, F.col("second").alias("_s"), zero.alias("_n"), F.col("n").alias("_old"))
+        per_second = per_second.unionByName(old).groupBy(by, "_s").agg(F.sum("_n").alias("_n"), F.sum("_old").alias("_old"))
     span = max(seconds, 1) * 16
     # Each second also takes part in the ranges that look back on it.
     home = F.floor(F.col("_s") / span)
@@ -81,8 +86,8 @@ def flag_rapid_fire(clicks: DataFrame, seconds: int = 60, threshold: int = 10, b
     copies = per_second.withColumn("_home", home).withColumn("_range", F.explode(F.sequence(home, last_seen_from)))
     back = W.partitionBy(by, "_range").orderBy("_s").rangeBetween(-seconds, -1)
     before = (
-        copies.withColumn("_before", F.coalesce(F.sum("_n").over(back), F.lit(0)))
-        .where(F.col("_range") == F.col("_home"))
+        copies.withColumn("_before", F.coalesce(F.sum(F.col("_n") + F.col("_old")).over(back), F.lit(0)) + F.col("_old"))
+        .where((F.col("_range") == F.col("_home")) & (F.col("_n") > 0))
         .select(by, "_s", "_before")
     )
     first_ids = (

@@ -343,18 +343,25 @@ def match_index(offers: DataFrame) -> DataFrame:
     return index.where(F.col("kind") != "title").unionByName(named)
 
 
-def _targets(index: DataFrame, memory: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """What each key leads to: tier, key, cell, strength, pct, peer, canonical_product_id, n; ``cell`` is 0 where no strength counts."""
-    usable = canonicals.where(F.col("status") != "retired")
-    live = index.join(usable.select(F.col("id").alias("canonical_product_id")), "canonical_product_id", "left_semi")
+def _peer_keys(index: DataFrame) -> DataFrame:
+    """tier, key, strength, canonical_product_id and peer of every row of an index; the strength only where the tier asks for it."""
     a, b, servings = F.col("a"), F.col("b"), F.col("servings")
     by_kind = {"brand_title": _key(a, b), "brand_title_dose": _key(a, b, servings), "title_dose": _key(b, servings)}
     doses = [F.when(F.col("strength").isNotNull(), by_kind[t]) if t.endswith("dose") else by_kind[t] for t in by_kind]
     titles = F.filter(F.array(*[F.struct(F.lit(_ORDER[t]).alias("tier"), k.alias("key")) for t, k in zip(by_kind, doses, strict=True)]), lambda e: e["key"].isNotNull())
-    plain = F.array(F.struct(F.when(F.col("kind") == "barcode", _ORDER["barcode"]).otherwise(_ORDER["brand_sku"]).alias("tier"), F.when(F.col("kind") == "barcode", a).otherwise(_key(a, b)).alias("key")))
-    peers = live.select("canonical_product_id", "peer", "strength", F.explode(F.when(F.col("kind") == "title", titles).otherwise(plain)).alias("e")).select("canonical_product_id", "peer", "strength", "e.*")
-    peers = peers.withColumn("strength", F.when(F.col("tier").isin(_ORDER["brand_title_dose"], _ORDER["title_dose"]), F.col("strength")))
-    peers = peers.groupBy("tier", "key", "strength").agg(F.min(F.struct("peer", "canonical_product_id")).alias("f"), F.lit(1).cast("bigint").alias("n")).select("tier", "key", "strength", F.lit(None).cast("double").alias("pct"), "f.*", "n")
+    barcode = F.col("kind") == "barcode"
+    plain = F.struct(F.when(barcode, _ORDER["barcode"]).otherwise(_ORDER["brand_sku"]).alias("tier"), F.when(barcode, a).otherwise(_key(a, b)).alias("key"))
+    entries = F.explode(F.when(F.col("kind") == "title", titles).otherwise(F.array(plain)))
+    rows = index.select("canonical_product_id", "peer", "strength", entries.alias("e")).select("canonical_product_id", "peer", "strength", "e.*")
+    return rows.withColumn("strength", F.when(F.col("tier").isin(_ORDER["brand_title_dose"], _ORDER["title_dose"]), F.col("strength")))
+
+
+def _targets(index: DataFrame, memory: DataFrame, canonicals: DataFrame) -> DataFrame:
+    """What each key leads to: tier, key, cell, strength, pct, peer, canonical_product_id, n; ``cell`` is 0 where no strength counts."""
+    usable = canonicals.where(F.col("status") != "retired")
+    live = index.join(usable.select(F.col("id").alias("canonical_product_id")), "canonical_product_id", "left_semi")
+    peers = _peer_keys(live).groupBy("tier", "key", "strength").agg(F.min(F.struct("peer", "canonical_product_id")).alias("f"), F.lit(1).cast("bigint").alias("n"))
+    peers = peers.select("tier", "key", "strength", F.lit(None).cast("double").alias("pct"), "f.*", "n")
 
     known = _live_memory(memory, canonicals)
 
@@ -384,6 +391,28 @@ def _targets(index: DataFrame, memory: DataFrame, canonicals: DataFrame) -> Data
     return every.withColumn("cell", F.coalesce(_cell(F.col("strength")), F.lit(0).cast("bigint")))
 
 
+def catalog_keys(changed: DataFrame, index: DataFrame, memory: DataFrame) -> DataFrame:
+    """(tier, key, cell): all keys by which catalog products, in any of their given versions, can have a part in a match."""
+    ids = changed.select(F.col("id").alias("canonical_product_id")).distinct()
+    peers = _peer_keys(index.join(ids, "canonical_product_id", "left_semi")).select("tier", "key", "strength")
+    learned = memory.where(~blank(F.col("title_key"))).join(ids, "canonical_product_id", "left_semi")
+    none = F.lit(None).cast("double").alias("strength")
+
+    def rows(df: DataFrame, tier: str, key: Column, strength: Column = none) -> DataFrame:
+        return df.select(F.lit(_ORDER[tier]).alias("tier"), key.alias("key"), strength.alias("strength"))
+
+    pinned = changed.where(F.col("strength_per_serving").isNotNull())
+    parts = [
+        peers,
+        rows(learned, "memory_own", _key(F.col("merchant_id"), F.col("title_key"))),
+        rows(learned, "memory_others", F.col("title_key")),
+        rows(pinned, "canonical_attrs", _key(F.col("ingredient_id"), F.col("ingredient_form")), F.col("strength_per_serving").cast("double")),
+        rows(changed.where(F.col("ingredient_form").isNull() & F.col("strength_per_serving").isNull()), "ingredient_only", F.col("ingredient_id").cast("string")),
+    ]
+    every = reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull())
+    return every.select("tier", "key", F.coalesce(_cell(F.col("strength")), F.lit(0).cast("bigint")).alias("cell")).distinct()
+
+
 def _target(df: DataFrame, tier: str) -> DataFrame:
     have = {"strength": F.lit(None).cast("double"), "pct": F.lit(None).cast("double"), "n": F.lit(1).cast("bigint")}
     more = [F.col(c) if c in df.columns else v.alias(c) for c, v in have.items()]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.costs import derive_costs
 from ..functions.text import blank, decode_entities, title_key
 from ..settings import QUEUE
-from .match import live_peers, match_offers, normalize_offers
+from .match import live_peers, match_cascade, match_offers, normalize_offers
 
 SLOT = ["merchant_id", "title_key"]
 
@@ -124,20 +124,8 @@ def _owned(field: str):
     return F.array_contains(F.coalesce(F.col("operator_fields"), F.array().cast("array<string>")), field)
 
 
-def rematch(
-    offers: DataFrame,
-    memory: DataFrame,
-    canonicals: DataFrame,
-    ingredients: DataFrame,
-    raw: DataFrame | None = None,
-    ids: DataFrame | None = None,
-) -> DataFrame:
-    """JOB-4: match the queue's offers that have no catalog product yet.
-
-    Stored values win over freshly read ones.  A match fills ingredient, form,
-    strength and percentage only where they are blank and not curator-owned, and the
-    cost columns are derived again.  Returns the matched offers, complete.
-    """
+def read_queue(offers: DataFrame, ingredients: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The queue's offers that have no catalog product yet, read for a match; stored values win over freshly read ones."""
     queue = offers.where(F.col("visibility_status").isin(QUEUE) & F.col("canonical_product_id").isNull())
     if ids is not None:
         queue = queue.join(ids.select("id").distinct(), "id", "left_semi")
@@ -152,12 +140,35 @@ def rematch(
         "found_servings": "servings_per_container",
         "found_pct": "standardization_percentage",
     }
-    read = read.withColumns(
+    return read.withColumns(
         {
             f: F.coalesce(F.nullif(F.col(c), F.lit("")) if f == "found_form" else F.col(c).cast(read.schema[f].dataType), F.col(f))
             for f, c in stored.items()
         }
     )
+
+
+def match_queue(read: DataFrame, memory: DataFrame, canonicals: DataFrame, offers: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(id, canonical_product_id, match_confidence, match_tier) of the read offers that have a match."""
+    hits = match_cascade(read, offers, memory, canonicals, index)
+    return hits.select("id", "canonical_product_id", F.col("confidence").alias("match_confidence"), F.col("tier").alias("match_tier"))
+
+
+def rematch(
+    offers: DataFrame,
+    memory: DataFrame,
+    canonicals: DataFrame,
+    ingredients: DataFrame,
+    raw: DataFrame | None = None,
+    ids: DataFrame | None = None,
+) -> DataFrame:
+    """JOB-4: match the queue's offers that have no catalog product yet.
+
+    Stored values win over freshly read ones.  A match fills ingredient, form,
+    strength and percentage only where they are blank and not curator-owned, and the
+    cost columns are derived again.  Returns the matched offers, complete.
+    """
+    read = read_queue(offers, ingredients, ids)
     hit = match_offers(read, offers, memory, canonicals).where(F.col("matched_canonical_id").isNotNull())
     dims = canonicals.select(
         F.col("id").alias("matched_canonical_id"),

@@ -124,7 +124,7 @@ def missing_merchants(validated: DataFrame) -> DataFrame:
 
 def error_sample(errors: DataFrame, n: int = 25, by: str = "run_id") -> DataFrame:
     """AGG-23: the first errors of each run."""
-    return top_n(errors.where(F.col("error").isNotNull()), [by], [F.col("row_num")], n).select(by, "row_num", "error")
+    return top_n(errors.where(F.col("error").isNotNull()), [by], [F.col("row_num"), F.col("error")], n).select(by, "row_num", "error")
 
 
 def _http_only(c: Column) -> Column:

@@ -51,3 +51,26 @@ def materialize(df: DataFrame, purpose: str = "step") -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own making; one that is not there is fine."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder."""
+    fs, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []

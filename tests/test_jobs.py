@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricebook import schemas as sc
@@ -181,8 +182,6 @@ def test_rapid_fire_keeps_clicks_without_a_visitor(spark):
 
 
 def test_feeds_of_other_column_order_are_an_error(spark, tmp_path):
-    import pytest
-
     (tmp_path / "a.csv").write_text("slug,name\nx,X\n")
     (tmp_path / "b.csv").write_text("name,slug\nY,y\n")
     with pytest.raises(Exception, match="CSV header|conform"):
@@ -202,13 +201,25 @@ def test_catalog_versions(spark, tmp_path):
     assert sorted(r["id"] for r in read_catalog(spark, f"{tmp_path}/out")[1].collect()) == [2, 3]
 
 
-def test_open_run_counts_each_batch_once_and_closes_all_merchants(spark):
+@pytest.fixture(scope="module")
+def started(spark):
+    """A first run of two rows, and the event that it told."""
+    from pricebook.plans import ingest as plan
+
+    told = []
+    plan.on_change(told.append)
+    result = ingest(feed(spark, [("1", "", "Zinc 50mg vial", "10"), ("2", "", "Zinc 5mg vial", "3")]), tables(spark), 1, NOW)
+    plan._callbacks.clear()
+    return result, told[0]
+
+
+def test_open_run_counts_each_batch_once_and_closes_all_merchants(spark, tmp_path, started):
     from pricebook.streaming.jobs import IngestRun
 
-    start = ingest(feed(spark, [("1", "", "Zinc 50mg vial", "10"), ("2", "", "Zinc 5mg vial", "3")]), tables(spark), 1, NOW).tables
+    start = started[0].tables
     gone = spark.createDataFrame([(1, "9", "")], "merchant_id bigint, source_product_id string, source_variant_id string")
     start = {**start, "suppressions": lc.suppress(start["suppressions"], gone, "manual", NOW)}
-    run = IngestRun(start, 2)
+    run = IngestRun(start, 2, str(tmp_path))
     assert run.ledger() is None
     step = run.batch(NOW + timedelta(days=1))
     # All rows of the only batch are suppressed or in error: the merchant still took part.
@@ -219,11 +230,101 @@ def test_open_run_counts_each_batch_once_and_closes_all_merchants(spark):
     assert counts["error_log"] == "row 3: current_price is not a number"
     closed = run.close(NOW + timedelta(days=1))
     assert {r["visibility_status"] for r in closed["offers"].collect()} == {"stale"}
+    # A new driver sees the same run; a batch that was not committed is written again.
+    again = IngestRun(start, 2, str(tmp_path))
+    assert again.ledger().first() == counts and again.close(NOW).keys() == closed.keys()
+    (tmp_path / "raw" / "batch=1").mkdir(parents=True)
+    (tmp_path / "raw" / "batch=1" / "part-0.parquet").write_bytes(b"half")
+    again.batch(NOW + timedelta(days=1))(feed(spark, [("2", "", "Zinc 5mg vial", "4")]), 1)
+    raw = [(r["source_product_id"], r["id"]) for r in again.tables()["raw"].where("import_run_id = 2").collect()]
+    assert raw == [("2", max(r["id"] for r in start["raw"].collect()) + 2)]
+    assert {r["source_product_id"]: r["visibility_status"] for r in again.close(NOW)["offers"].collect()} == {"1": "stale", "2": "pending"}
+
+
+def test_a_run_tells_its_counters_in_the_pass_that_does_it(spark, started):
+    from pricebook.plans import ingest as plan
+
+    first, event = started
+    told = [event]
+    plan.on_change(told.append)
+    try:
+        ban = spark.createDataFrame([(1, "2", "")], "merchant_id bigint, source_product_id string, source_variant_id string")
+        banned = {**first.tables, "suppressions": lc.suppress(first.tables["suppressions"], ban, "manual", NOW)}
+        second = ingest(feed(spark, [("1", "", "Zinc 50mg vial", "11"), ("2", "", "T", "3"), ("4", "", "Zinc", "x"), ("5", "", "New", "2")]), banned, 2, NOW, all_or_nothing=False)
+        kept = plan.materialize_event(second.tables["offers"], "kept", "status_change", {"rows": F.count(F.lit(1))}, user=3)
+    finally:
+        plan._callbacks.clear()
+    for e, result in zip(told, (first, second)):
+        counted = lc.run_counters(result.results).first().asDict()
+        assert {name: e[name] for name in counted} == counted
+    assert told[1]["stale"] == 1 and told[1]["suppressed"] == 1 and told[1]["errored"] == 1
+    assert told[2] == {"source": "status_change", "user": 3, "rows": kept.count()}
+
+
+def test_keyed_state_reads_merged_runs_and_only_touched_buckets(spark, tmp_path):
+    from pricebook.streaming.state import KeyedState
+
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at long, v string")
+    state = KeyedState(str(tmp_path), ["k"], ["at"], rows(("a", 1, "x")).schema, buckets=4, fan=2)
+    assert state.runs(0) == [] and state.runs(5) == [(0, 4), (2, 0)] and state.runs(4) == [(2, 0)]
+    want = {}
+    for n in range(6):
+        put = [(c, n, f"{c}{n}") for c in "abcdef"[n % 3 :: 2]] + [(None, n, f"null{n}")]
+        state.put(rows(*put), n)
+        want |= {k: v for k, _, v in put}
+        assert {r["k"]: r["v"] for r in state.before(spark, n + 1).collect()} == want
+    # A batch that comes again sees what it saw before, and replaces what it wrote.
+    state.put(rows(("a", 5, "late")), 5)
+    assert {r["k"]: r["v"] for r in state.before(spark, 6).collect()}["a"] == "late"
+    some = state.before(spark, 5, rows(("b", 0, ""), (None, 0, ""), ("zz", 0, "")))
+    assert {r["k"] for r in some.collect()} == {"b", None}
+    state.put(rows(), 6)
+    assert state.before(spark, 7).count() == state.before(spark, 6).count()
+
+
+def test_rapid_fire_over_batches_with_a_busy_visitor_and_late_clicks(spark, tmp_path):
+    from pricebook.streaming.jobs import RapidFire
+
+    schema = "visitor string, id long, clicked_at timestamp"
+    rows = [("busy" if n % 2 else f"v{n % 7}" if n % 10 else None, n, NOW + timedelta(seconds=n // 3)) for n in range(4000)]
+    whole = k.flag_rapid_fire(spark.createDataFrame(rows, schema).withColumnRenamed("visitor", "ip_hash"), 30, 12)
+    job = lambda: RapidFire(str(tmp_path), 30, 12, delay_seconds=60)
+    cuts = [0, 700, 2500, 4000]
+    for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        job()(spark.createDataFrame(rows[x:y], schema), b)
+    job()(spark.createDataFrame(rows[2500:], schema), 2)
+    got = {r["id"]: r["rapid_fire"] for r in job().flags(spark).collect()}
+    assert got == {r["id"]: r["rapid_fire"] for r in whole.collect()}
+    # Far behind the watermark: written, never flagged, held against nobody.
+    late = [("busy", 10_000 + n, NOW) for n in range(30)]
+    job()(spark.createDataFrame(late, schema), 3)
+    told = job().flags(spark).where("id >= 10000").collect()
+    assert len(told) == 30 and all(r["late"] and not r["rapid_fire"] for r in told)
+
+
+def test_a_catalog_change_reaches_only_offers_with_its_keys(spark, tmp_path):
+    from pricebook.streaming.jobs import CatalogRematch
+
+    t = tables(spark)
+    names = ["Zinc 50mg vial", "Copper drops", "Tin foil", "Zinc 50mg vial"]
+    # One offer is published as product 70, with the same title as one of the queue.
+    rows = [(n, 1, str(n), x, "B", "pending", None if n else 70) for n, x in enumerate(names)]
+    offers = spark.createDataFrame(rows, "id bigint, merchant_id bigint, source_product_id string, product_title string, brand string, visibility_status string, canonical_product_id bigint")
+    offers = offers.select(*[(F.col(f.name) if f.name in offers.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in sc.OFFERS])
+    job = CatalogRematch(str(tmp_path), offers, t["memory"], t["canonicals"].withColumn("status", F.lit("retired")), t["ingredients"])
+    same = t["canonicals"].withColumns({"status": F.lit("retired"), "display_name": F.lit("other")})
+    job(same, 0)
+    assert job.matches(spark, 1).count() == 0 and job._matches().before(spark, 1).count() == 0
+    job(t["canonicals"], 1)
+    reached = job._matches().before(spark, 2).collect()
+    by_id = {r["id"]: r["product_title"] for r in offers.collect()}
+    assert {by_id[r["id"]] for r in reached} == {"Zinc 50mg vial"}
+    assert [(by_id[r["id"]], r["canonical_product_id"], r["match_tier"]) for r in job.matches(spark, 2).collect()] == [("Zinc 50mg vial", 70, "brand_title")]
+    job(same, 2)
+    assert job.matches(spark, 3).count() == 0
 
 
 def test_price_changes_need_the_state_before(spark, tmp_path):
-    import pytest
-
     from pricebook.streaming.jobs import PriceChanges
 
     job = PriceChanges(str(tmp_path / "p"), ["key"], lambda: F.date_trunc("week", "observed_at"))

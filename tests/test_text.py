@@ -105,3 +105,31 @@ def test_urls(spark):
 
 def test_half_up_counts_binary_halves(spark):
     assert rows(spark, ["9519.99"], t.half_up(F.col("x").cast("double") / 120, 4)) == [79.3333]
+
+
+def test_attributes_of_any_depth(spark):
+    from pricebook.functions import attributes as a
+
+    deep = 100_000
+    lists = "[" * deep + '"5 mg"' + "]" * deep
+    dicts = '{"a":' * deep + '{"name":"Size","value":[[["9 g"]],2]}' + "}" * deep
+    df = spark.createDataFrame([(1, lists), (2, dicts), (3, lists[:-1]), (4, dicts + "x"), (5, '{"variation_attributes":' + lists + "}")], "id int, j string")
+    got = {r["id"]: r for r in df.select("id", a.flatten_attributes(F.col("j")).alias("t"), a.attribute_pairs(F.col("j")).alias("p"), a.split_attributes(F.col("j")).alias("s")).collect()}
+    assert got[1]["t"] == "5 mg" and [tuple(x) for x in got[1]["p"]] == [("", "5 mg")] and got[1]["s"]["product"] == ["5 mg"]
+    assert got[2]["t"] == "Size | 9 g" and [tuple(x) for x in got[2]["p"]] == [("Size", "9 g"), ("Size", "2")]
+    assert got[3]["t"] == got[4]["t"] == "" and got[5]["s"]["variant"] == ["5 mg"]
+
+
+def test_deep_parser_agrees_with_the_library():
+    import json
+
+    from pricebook.functions.attributes import _parse_deep
+
+    good = ["[]", "{}", '[1,-0.5e3,true,null,"a\\u00e9\\n",{"k":{"k":[[],{}]},"k":2}]', ' {"a" : [ ] } ', "3", '"x"']
+    assert [_parse_deep(x) for x in good] == [json.loads(x) for x in good]
+    for bad in ["", "[", "]", "[1,]", '{"a"}', '{"a":}', "{1:2}", "[1 2]", "[1]]", "01", "[1.]", "tru", '{"a":1,}', "[}", '["a'  ]:
+        try:
+            _parse_deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)

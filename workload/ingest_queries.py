@@ -56,7 +56,7 @@ def missing_merchants(spark, sf):
 @query(
     "error_sample",
     f"""SELECT run_id, row_num, error FROM (SELECT CAST(merchant_id AS STRING) AS run_id, row_num, final_error AS error,
-row_number() OVER (PARTITION BY merchant_id ORDER BY row_num) AS rn FROM ({CHECKED}) c WHERE final_error IS NOT NULL AND merchant_id IS NOT NULL) x WHERE rn <= 25""",
+row_number() OVER (PARTITION BY merchant_id ORDER BY row_num, final_error) AS rn FROM ({CHECKED}) c WHERE final_error IS NOT NULL AND merchant_id IS NOT NULL) x WHERE rn <= 25""",
 )
 def error_sample(spark, sf):
     rows = checked(spark, sf).where("merchant_id is not null").withColumn("run_id", F.col("merchant_id").cast("string"))

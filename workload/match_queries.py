@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricebook.operators import match as m, memory as mem, totals as tot
-from pricebook.session import materialize
+from pricebook.plans.ingest import append_raw
+from pricebook.plans.raw_index import RawPointers
+from pricebook.schemas import KEY
+from pricebook.session import materialize, shared_dir
 
 from .base import ROUND, query
 from .data import Data
@@ -263,6 +266,25 @@ def latest_raw(spark, sf):
     return tot.latest_raw(d.offers, d.raw.unionByName(old)).select("id", F.get_json_object("raw_json", "$.product_title").alias("title"))
 
 
+@query(
+    "latest_raw_pointers",
+    "SELECT id, CASE WHEN partkey % 3 = 0 THEN product_title WHEN partkey % 2 = 0 THEN 'second' ELSE 'first' END AS title FROM v_offers WHERE visibility_status = 'pending'",
+)
+def latest_raw_pointers(spark, sf):
+    # Three runs of raw rows, partitioned by run; pointers are kept run by run.
+    d = Data(spark, sf)
+    offers = materialize(d.offers, "offers")
+    folder, pointers = shared_dir(spark, "raw"), RawPointers(shared_dir(spark, "pointers"), buckets=8, fan=2)
+    runs = [(F.lit(True), F.lit("first")), (F.col("partkey") % 2 == 0, F.lit("second")), (F.col("partkey") % 3 == 0, F.col("product_title"))]
+    for n, (some, title_) in enumerate(runs):
+        rows = offers.where(some).select(*KEY, (F.col("id") + n * 10**12).alias("id"), F.lit(n).cast("bigint").alias("import_run_id"), F.to_json(F.struct(title_.alias("product_title"))).alias("raw_json"))
+        append_raw(rows, folder)
+        pointers.put(spark.read.schema(rows.schema).parquet(folder).where(F.col("import_run_id") == n), n)
+    raw = spark.read.schema(rows.schema).parquet(folder)
+    queue = offers.where("visibility_status = 'pending'")
+    return tot.latest_raw(queue, raw, pointers.of(spark, queue, len(runs))).select("id", F.get_json_object("raw_json", "$.product_title").alias("title"))
+
+
 SUGGESTED = """CASE style WHEN 5 THEN size * 10 WHEN 6 THEN size WHEN 7 THEN size + 5 END"""
 
 
