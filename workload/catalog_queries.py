@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pricebook.operators import catalog as c, clicks as k
 from pricebook.operators.validate import clean_canonicals, clean_ingredients, clean_merchants
+from pricebook.session import materialize
 
 from .base import FRESH_SQL, HIDE_HOURS, NOW, NOW_SQL, WARN_HOURS, query
 from .data import Data
@@ -313,6 +316,48 @@ def sort_list(spark, sf):
     return c.sort_list(c.compare_list(export(spark, sf)), "merchant_count").select("canonical_product_id", "merchants")
 
 
+def _positions(ordered, *columns):
+    """The rows of an ordered table with their position: the place in the partition after all partitions before it."""
+    rows = materialize(ordered.withColumn("_mid", F.monotonically_increasing_id()).select(*columns, "_mid"), "ordered").withColumn("_part", F.shiftright("_mid", 33))
+    runs = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    runs = runs.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return rows.join(runs, "_part").select(*columns, (F.col("_base") + F.col("_mid") - F.col("_first") + 1).alias("position"))
+
+
+def _all_orders(keys: dict[str, str], tie: str) -> str:
+    parts = [f"SELECT '{k}' AS sorted_by, '{d}' AS direction, {tie}, row_number() OVER (ORDER BY {e} {d} NULLS LAST, {tie}) AS position FROM e" for k, e in keys.items() for d in ("asc", "desc")]
+    return " UNION ALL ".join(parts)
+
+
+DETAIL_SQL = {k: {"merchant": "lower(coalesce(merchant_name, ''))", "brand": "lower(coalesce(brand, ''))"}.get(k, k) for k in c.DETAIL_KEYS}
+LIST_SQL = {"display_name": "lower(coalesce(display_name, ''))", "cost_per_active_unit": "lowest_cost", "merchant_count": "merchants"}
+
+
+@query("sort_detail_all", f", e AS ({EXPORT})\n{_all_orders(DETAIL_SQL, 'id')}", "v_costed v_merchants v_canonicals v_ingredients")
+def sort_detail_all(spark, sf):
+    rows = materialize(export(spark, sf).select("id", "merchant_name", *[k for k in c.DETAIL_KEYS if k != "merchant"]), "export")
+    parts = [
+        _positions(c.sort_detail(rows, k, d), "id").select(F.lit(k).alias("sorted_by"), F.lit(d).alias("direction"), "id", "position") for k in c.DETAIL_KEYS for d in ("asc", "desc")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "sort_list_all",
+    f""", e AS (SELECT canonical_product_id, display_name, count(DISTINCT merchant_id) AS merchants, min(cost_per_active_unit) AS lowest_cost FROM ({EXPORT}) x GROUP BY 1, 2)
+{_all_orders(LIST_SQL, 'canonical_product_id')}""",
+    "v_costed v_merchants v_canonicals v_ingredients",
+)
+def sort_list_all(spark, sf):
+    rows = materialize(c.compare_list(export(spark, sf)), "list")
+    parts = [
+        _positions(c.sort_list(rows, k, d), "canonical_product_id").select(F.lit(k).alias("sorted_by"), F.lit(d).alias("direction"), "canonical_product_id", "position")
+        for k in c.LIST_KEYS
+        for d in ("asc", "desc")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("recent_rows", "SELECT id, started_at FROM v_attempts ORDER BY id DESC LIMIT 50")
 def recent_rows(spark, sf):
     return k.recent(Data(spark, sf).attempts, 50).select("id", "started_at")

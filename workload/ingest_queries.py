@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricebook.functions.costs import canonical_derived, reconcile_totals, seed_total
 from pricebook.operators import lifecycle as lc, validate as v
 from pricebook.plans import ingest as ing
+from pricebook.session import materialize
 from pricebook.sources.feed import feed_metadata, union_feeds
 
 from .base import NOW, NOW_SQL, ROUND, query
@@ -356,6 +357,51 @@ def delete_cascade(spark, sf):
     return total
 
 
+DEAD, RETIRED = "(SELECT id FROM v_merchants WHERE status = 'dead')", "(SELECT id FROM v_canonicals WHERE status = 'retired')"
+LOOSE = "(SELECT id FROM v_ingredients WHERE status = 'retired' AND id % 2 = 1)"
+
+
+@query(
+    "delete_cascade_kinds",
+    f"""SELECT 'merchant' AS kind, 'merchants' AS tbl, count(*) AS n, count(*) AS refs FROM v_merchants WHERE status <> 'dead'
+UNION ALL SELECT 'merchant', 'offers', count(*), count(*) FROM v_offers WHERE merchant_id NOT IN {DEAD}
+UNION ALL SELECT 'merchant', 'history', count(*), count(*) FROM v_history h JOIN v_offers o ON o.id = h.offer_id WHERE o.merchant_id NOT IN {DEAD}
+UNION ALL SELECT 'merchant', 'raw', count(*), count(*) FROM v_offers WHERE merchant_id NOT IN {DEAD}
+UNION ALL SELECT 'merchant', 'clicks', count(*), count(CASE WHEN merchant_id IS NOT NULL AND merchant_id NOT IN {DEAD} THEN 1 END) FROM v_clicks
+UNION ALL SELECT 'merchant', 'click offers', count(*), count(CASE WHEN offer_id IS NOT NULL AND offer_id NOT IN (SELECT id FROM v_offers WHERE merchant_id IN {DEAD}) THEN 1 END) FROM v_clicks
+UNION ALL SELECT 'canonical', 'canonicals', count(*), count(*) FROM v_canonicals WHERE status <> 'retired'
+UNION ALL SELECT 'canonical', 'offers', count(*), count(CASE WHEN canonical_product_id IS NOT NULL AND canonical_product_id NOT IN {RETIRED} THEN 1 END) FROM v_offers
+UNION ALL SELECT 'canonical', 'clicks', count(*), count(CASE WHEN canonical_product_id IS NOT NULL AND canonical_product_id NOT IN {RETIRED} THEN 1 END) FROM v_clicks
+UNION ALL SELECT 'canonical', 'memory', count(*), count(*) FROM v_memory WHERE canonical_product_id NOT IN {RETIRED}
+UNION ALL SELECT 'ingredient', 'ingredients', count(*), count(*) FROM v_ingredients WHERE id NOT IN {LOOSE}
+UNION ALL SELECT 'ingredient', 'offers', count(*), count(CASE WHEN ingredient_id IS NOT NULL AND ingredient_id NOT IN {LOOSE} THEN 1 END) FROM v_offers""",
+)
+def delete_cascade_kinds(spark, sf):
+    d = Data(spark, sf)
+    offers, clicks = materialize(d.offers, "offers"), materialize(d.clicks, "clicks")
+    t = {"offers": offers, "history": d.history, "raw": d.raw, "clicks": clicks, "suppressions": d.suppressions, "memory": d.memory, "merchants": d.merchants, "ingredients": d.ingredients}
+
+    def told(kind, tbl, df, ref=None):
+        refs = F.count(F.lit(1) if ref is None else F.col(ref))
+        return df.agg(F.count(F.lit(1)).alias("n"), refs.alias("refs")).select(F.lit(kind).alias("kind"), F.lit(tbl).alias("tbl"), "n", "refs")
+
+    # Everything is asked for; what may not go, stays.
+    m = lc.delete_cascade("merchant", d.merchants, t, NOW)
+    k = lc.delete_cascade("canonical", d.canonicals, {**t, "canonicals": d.canonicals}, NOW)
+    # Only even ingredients are in use.
+    i = lc.delete_cascade("ingredient", d.ingredients, {**t, "canonicals": d.canonicals.where("ingredient_id % 2 = 0")}, NOW)
+    parts = [
+        told("merchant", "merchants", m["merchants"]), told("merchant", "offers", m["offers"]), told("merchant", "history", m["history"]), told("merchant", "raw", m["raw"]),
+        told("merchant", "clicks", m["clicks"], "merchant_id"), told("merchant", "click offers", m["clicks"], "offer_id"),
+        told("canonical", "canonicals", k["canonicals"]), told("canonical", "offers", k["offers"], "canonical_product_id"), told("canonical", "clicks", k["clicks"], "canonical_product_id"),
+        told("canonical", "memory", k["memory"]), told("ingredient", "ingredients", i["ingredients"]), told("ingredient", "offers", i["offers"], "ingredient_id"),
+    ]
+    total = parts[0]
+    for x in parts[1:]:
+        total = total.unionByName(x)
+    return total
+
+
 @query(
     "potential_duplicates",
     """SELECT merchant_id, source_product_id, count_if(source_variant_id = '') AS blank_offers, count_if(source_variant_id <> '') AS variant_offers, true AS same_url, 2 AS confidence

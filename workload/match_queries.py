@@ -249,6 +249,30 @@ def rematch_for_keys(spark, sf):
     return mem.rematch_for_keys(d.offers, keys, d.memory, d.canonicals, d.ingredients).select("id", "canonical_product_id")
 
 
+# Queue rows with the codes of a published product: the barcode for one half of the offers, brand and SKU for the other.
+CODED = """, coded AS (SELECT o.*, '00' || CAST(4000000000 + o.partkey + 3 AS STRING) AS code, 'SKU-' || CAST(o.partkey + 3 AS STRING) AS other FROM v_offers o
+  WHERE o.visibility_status IN ('pending', 'needs_review') AND o.canonical_product_id IS NULL),
+peers AS (SELECT o.* FROM v_offers o JOIN v_canonicals c ON c.id = o.canonical_product_id AND c.status <> 'retired')
+SELECT q.id, arg_min(p.canonical_product_id, p.id) AS canonical_product_id, 'barcode' AS tier FROM coded q JOIN peers p ON p.barcode = q.code WHERE q.id % 2 = 0 GROUP BY 1
+UNION ALL SELECT q.id, arg_min(p.canonical_product_id, p.id), 'brand_sku' FROM coded q JOIN peers p ON p.sku = q.other WHERE q.id % 2 = 1 GROUP BY 1"""
+
+
+@query("rematch_codes", CODED, "v_offers v_canonicals")
+def rematch_codes(spark, sf):
+    d = Data(spark, sf)
+    queued = F.col("visibility_status").isin("pending", "needs_review") & F.col("canonical_product_id").isNull()
+    even, near = F.col("id") % 2 == 0, F.col("partkey") + 3
+    offers = d.offers.withColumns(
+        {
+            "brand": F.lit("One"),
+            "barcode": F.when(queued & even, F.concat(F.lit("00"), (near + 4000000000).cast("string"))).when(queued, "").otherwise(F.col("barcode")),
+            "sku": F.when(queued & even, "").when(queued, F.concat(F.lit("SKU-"), near.cast("string"))).otherwise(F.col("sku")),
+        }
+    )
+    out = mem.rematch(materialize(offers, "offers"), d.memory.limit(0), d.canonicals, d.ingredients)
+    return out.where(F.col("match_tier").isin("barcode", "brand_sku")).select("id", "canonical_product_id", F.col("match_tier").alias("tier"))
+
+
 # --- totals ----------------------------------------------------------------------------------------------------------
 
 SIBLINGS = """(source_product_id <> '' AND count(*) OVER (PARTITION BY merchant_id, source_product_id) > 1) OR count(*) OVER (PARTITION BY merchant_id, product_title) > 1"""
@@ -439,6 +463,44 @@ def diagnostic_by_merchant(spark, sf):
     return tot.diagnostic_by_merchant(diagnostic(spark, sf)).select("merchant", "n", "ok", "from_per_serving_x_count", "from_not_found")
 
 
+# Vials with a confirmed total: the one that the title states, twice that, or (of published offers) one derived from other numbers.
+FILLS = f"""SELECT *, CASE WHEN told IS NOT NULL THEN told ELSE total_strength END AS truth, CASE WHEN source_variant_id <> '' THEN 'single_variant' WHEN NOT sib THEN 'single_title' ELSE '' END AS fill_source
+FROM (SELECT o.*, m.name AS merchant, {SIBLINGS.replace("count(*) OVER (PARTITION BY merchant_id, product_title) > 1", "false")} AS sib,
+  CASE partkey % 3 WHEN 0 THEN amount WHEN 1 THEN 2 * amount END AS told FROM (SELECT *, CASE WHEN partkey % 2 = 0 THEN strength_per_serving / 1000 ELSE strength_per_serving END AS amount FROM v_costed) o
+  LEFT JOIN v_merchants m ON m.id = o.merchant_id) x WHERE told IS NOT NULL OR (visibility_status = 'active' AND total_strength > 0)"""
+FILLED = f"""SELECT *, CASE WHEN fill_source = '' THEN 'none' WHEN partkey % 3 = 0 THEN 'right' ELSE 'wrong' END AS fill_status, CASE WHEN partkey % 3 = 0 THEN 'title' ELSE '' END AS found FROM ({FILLS}) f"""
+
+
+def filled_diagnostic(spark, sf):
+    d = Data(spark, sf)
+    amount = F.when(F.col("partkey") % 2 == 0, F.col("strength_per_serving") / 1000).otherwise(F.col("strength_per_serving"))
+    third = F.col("partkey") % 3
+    costed = d.costed.drop("standardization_default_pct", "elemental_percentage")
+    vials = vial_offers(d).select("id", "product_title", "variant_title", "strength_unit")
+    offers = costed.withColumn("total_active_per_container", F.when(third == 0, amount).when(third == 1, 2 * amount)).drop("product_title", "variant_title", "strength_unit").join(vials, "id")
+    return tot.total_diagnostic(materialize(offers, "offers"), materialize(vial_raw(d), "raw"), d.merchants, d.ingredients)
+
+
+@query("total_diagnostic_fills", f"SELECT id AS offer_id, merchant, truth, fill_source, fill_status, found AS found_in, CASE WHEN found = '' THEN 'not_found' ELSE found END AS best_source FROM ({FILLED}) s")
+def total_diagnostic_fills(spark, sf):
+    return filled_diagnostic(spark, sf).select("offer_id", "merchant", "truth", "fill_source", "fill_status", F.array_join("found_in", "|").alias("found_in"), "best_source")
+
+
+@query("fill_summary_by_source", f"SELECT fill_source, count_if(fill_status = 'right') AS \"right\", count_if(fill_status = 'wrong') AS wrong, count_if(fill_status = 'none') AS \"none\" FROM ({FILLED}) s GROUP BY 1")
+def fill_summary_by_source(spark, sf):
+    return tot.fill_summary(filled_diagnostic(spark, sf))
+
+
+@query(
+    "diagnostic_csv_fills",
+    f"""SELECT CAST(id AS STRING) AS offer_id, visibility_status AS visibility, merchant, '1' AS has_raw, found AS found_in, fill_source, fill_status, CASE WHEN partkey % 2 = 0 THEN 'g' ELSE 'mg' END AS truth_unit,
+CASE WHEN told IS NOT NULL THEN 'operator_total' ELSE 'approved_derived' END AS truth_source FROM ({FILLED}) s""",
+)
+def diagnostic_csv_fills(spark, sf):
+    cells = ["offer_id", "visibility", "merchant", "has_raw", "found_in", "fill_source", "fill_status", "truth_unit", "truth_source"]
+    return tot.diagnostic_csv(filled_diagnostic(spark, sf)).select(*cells)
+
+
 @query("diagnostic_attribute_keys", "SELECT concat('Dose ', p_type) AS attribute_key, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
 def attribute_keys(spark, sf):
     size = F.col("p_size").cast("string")

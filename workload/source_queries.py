@@ -258,7 +258,25 @@ def rewritten_feed(spark, sf):
     return mapped.rewrite_feed_urls(rows, {"from_host": "old.example.com", "to_host": "new.example.com"}).select(*MAPPED_COLUMNS)
 
 
-@query("preview_mapping", "SELECT count(*) AS rows, 0 AS problems FROM (SELECT * FROM part LIMIT 3) p")
+@query(
+    "preview_mapping",
+    """SELECT 'rows' AS k, '3 of 3 right' AS v UNION ALL SELECT 'problems', '' UNION ALL SELECT 'broken', 'list_url is missing|unknown field: no_such_field|unknown transform: no_such' UNION ALL SELECT 'all', CAST(count(*) AS STRING) FROM part LEFT JOIN (SELECT 1 AS k UNION ALL SELECT 2) x ON p_size % 5 <> 0""",
+)
 def preview(spark, sf):
-    rows, problems = mapped.preview_mapping(mapped_payloads(Data(spark, sf)), MAPPING, "https://j.example.com", RUN)
-    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("problems", F.lit(len(problems)))
+    d = Data(spark, sf)
+    site = "https://j.example.com"
+    rows, problems = mapped.preview_mapping(mapped_payloads(d), MAPPING, site, RUN, {"from_host": "old.example.com", "to_host": "new.example.com"})
+    # Every cell of the preview is held against the part that its row came from.
+    part = d.table("part").select(_s("p_partkey").alias("key"), "p_name", F.col("p_size").alias("size"))
+    same = (F.col("source_product_id") == F.when(F.col("size") % 3 == 0, F.col("p_name")).otherwise(F.col("key"))) & (F.col("product_title") == F.col("p_name"))
+    price = F.when(F.col("source_variant_id") == "", "").otherwise(F.concat("source_variant_id", F.lit("9.50")))
+    dose = F.when(F.col("source_variant_id") == "", "").otherwise(F.concat(F.lit('{"dose":"'), _s("size"), F.lit(' mg"}')))
+    url = F.concat(F.lit("https://new.example.com/c/"), F.replace("p_name", F.lit(" "), F.lit("%20")))
+    right = same & (F.col("regular_price") == price) & (F.col("raw_attributes_json") == dose) & (F.col("source_product_url") == url) & (F.col("currency") == "USD")
+    seen = rows.withColumn("row", F.monotonically_increasing_id()).join(part, F.col("product_title") == F.col("p_name"))
+    held = seen.groupBy("row").agg(F.max(F.when(right, 1).otherwise(0)).alias("ok")).agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    told = held.select(F.lit("rows").alias("k"), F.concat(_s("ok"), F.lit(" of "), _s("n"), F.lit(" right")).alias("v"))
+    broken = mapped.mapping_errors({"fields": {"product_title": {"from": "a", "transform": "no_such"}, "no_such_field": "b"}})
+    every, _ = mapped.preview_mapping(mapped_payloads(d), MAPPING, site, RUN, n=10**9)
+    fixed = spark.createDataFrame([("problems", " ".join(problems)), ("broken", "|".join(broken))], "k string, v string")
+    return told.unionByName(fixed).unionByName(every.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("k"), _s("n").alias("v")))
