@@ -2,24 +2,22 @@
 
 A byte-level tokenizer cuts a text at every single space between two characters that are not white space: no
 token crosses such a cut.  So a text's ids are the ids of its pieces, and each distinct piece of a batch is
-encoded once, by one call of the ``tokenizers`` library for thousands of pieces; the ids are dealt back by their
-byte lengths, which are checked.  Texts with other white space next to a space, or with an added token of the file, are encoded whole.
+encoded once: words of letters by the library's merge model, other pieces by one call of the library for thousands of
+them, whose ids are dealt back by their byte lengths, which are checked.  Texts with other white space next to a space, or with an added token of the file, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by one Python worker; beyond it only those met again stay (a matter of speed only).
-MEMORY = 400_000
+#: Units remembered by one Python worker; beyond it they are learned anew (a matter of speed only).
+MEMORY = 800_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 6_000_000
 
@@ -61,16 +59,18 @@ class TextEncoder:
         self.tok.no_truncation()
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         # A byte-level token spells each byte as one letter.
         letters = set(ByteLevel.alphabet())
         self.width = np.zeros(size, np.int64)
         for token, i in self.tok.get_vocab().items():
             self.width[i] = len(token) if set(token) <= letters else len(token.encode())
-        self.seen: dict[str, bytes | None] = {}
+        #: Units known so far: their places in one array of ids; -1 for those that a text must not be cut at.
+        self.slot: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.blob = np.zeros(0, self.dtype)
         # A text that holds an added token is encoded whole: the library cuts it there before anything else.
         contents = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
+        self.added = contents
         self.spaced = [c for c in contents if " " in c]
         # The library's byte-level cutting makes a space and letters one word, and the punctuation after it another.
         cutting = json.loads(self.tok.to_str())
@@ -79,7 +79,6 @@ class TextEncoder:
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(0x100 + i) for i, b in enumerate(others)}
-        self.ends: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -90,43 +89,68 @@ class TextEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def _learn_word(self, piece: str) -> bool:
-        """Remembers a piece of letters with a few signs at its end, if it is one."""
-        word = piece.rstrip(".,;:!?")
-        if not word.isalpha():
-            return False
-        ids = self.seen.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
-            ids = self.seen[word] = array(self.code, [t.id for t in self.tok.model.tokenize(self.spelling[0x20] + spelled)]).tobytes()
-        if len(word) < len(piece):
-            end = piece[len(word) :]
-            if end not in self.ends:
-                self.ends[end] = self._ids(end).tobytes()
-            self.seen[piece] = ids + self.ends[end]
-        return True
-
-    def _learn(self, new: list[str]) -> None:
-        """Remembers the ids of pieces that follow a space; None for a piece that a text must not be cut at."""
-        if self.added:
-            held = [w for w in new if self.added.search(w)]
-            self.seen.update(dict.fromkeys(held))
-            new = [w for w in new if w not in self.seen]
-        good = [w for w in new if not self._learn_word(w)] if self.by_words else new
-        bad = {w for w in good if w[:1].isspace() or w[-1:].isspace() or not w}
-        self.seen.update(dict.fromkeys(bad))
-        good = [w for w in good if w not in bad]
+    def _spelled(self, words: list[str]) -> list[str]:
+        """Words of letters after a space, as the library's byte-level step spells them."""
+        # No letter holds a line break, so all words are spelled as one text.
+        whole = "\n".join(words).encode().decode("latin-1").translate(self.spelling)
+        return [self.spelling[0x20] + w for w in whole.split(self.spelling[0x0A])]
+
+    def _remember(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n = len(self.starts), len(self.blob)
+        self.starts = np.concatenate([self.starts, n + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.blob = np.concatenate([self.blob, ids])
+        self.slot.update(zip(names, range(at, at + len(names)), strict=True))
+
+    def _learn(self, new: list[str], ends: list[str]) -> None:
+        """Remembers the ids of new units: words of letters and other pieces, both after a space, and the signs at words' ends."""
+        found: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        names: list[str] = []
+        words = [w for w in new if w.isalpha()] if self.by_words else []
+        if words:
+            # The letters of ASCII are spelled as themselves.
+            plain = [w for w in words if w.isascii()]
+            words = [w for w in words if not w.isascii()]
+            spelled = [self.spelling[0x20] + w for w in plain] + (self._spelled(words) if words else [])
+            words = plain + words
+            tokens = list(map(self.tok.model.tokenize, spelled))
+            found.append(np.array([t.id for own in tokens for t in own], self.dtype))
+            counts.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            names += words
+        other = [w for w in new if not w.isalpha()] if self.by_words else new
+        bad = [w for w in other if not w or w[:1].isspace() or w[-1:].isspace()]
+        self.slot.update(dict.fromkeys(bad, -1))
+        good = [w for w in other if w and not w[:1].isspace() and not w[-1:].isspace()]
         for at in range(0, len(good), 1024):
             part = good[at : at + 1024]
             ids = self._ids(" " + " ".join(part))
-            ends = np.cumsum(self.width[ids])
+            tops = np.cumsum(self.width[ids])
             cuts = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy() + 1)
-            to = np.searchsorted(ends, cuts) + 1
-            if len(ends) != to[-1] or not np.array_equal(ends[to - 1], cuts):
+            to = np.searchsorted(tops, cuts) + 1
+            if len(tops) != to[-1] or not np.array_equal(tops[to - 1], cuts):
                 raise ValueError("this tokenizer's tokens cross a space; use a byte-level one")
-            raw = ids.tobytes()
-            cut = [0, *(to * self.dtype.itemsize).tolist()]
-            self.seen.update(zip(part, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+            found.append(ids)
+            counts.append(np.diff(to, prepend=0))
+            names += part
+        for end in ends:
+            ids = self._ids(end) if end else np.zeros(0, self.dtype)
+            found.append(ids)
+            counts.append(np.array([len(ids)]))
+            names.append(f" {end}")  # no unit holds a space
+        if names:
+            self._remember(names, np.concatenate(found), np.concatenate(counts))
+
+    def _slots(self, units: list[str], ends: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of units and of words' ends among those remembered, new ones learned."""
+        keys = [f" {e}" for e in ends]
+        fresh = [u for u in units if u not in self.slot]
+        if len(self.slot) + len(fresh) > MEMORY:
+            self.slot, self.starts, self.lengths, self.blob = {}, self.starts[:0], self.lengths[:0], self.blob[:0]
+            fresh = units
+        self._learn(fresh, [e for e, k in zip(ends, keys, strict=True) if k not in self.slot])
+        get = self.slot.__getitem__
+        return np.fromiter(map(get, units), np.int64, len(units)), np.fromiter(map(get, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each (none for a null)."""
@@ -137,39 +161,54 @@ class TextEncoder:
         at, pieces = at - at[0], split.flatten()
         coded = pieces.dictionary_encode()
         index = coded.indices.to_numpy()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        fresh = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(fresh) > MEMORY:
-            self.seen = {w: self.seen[w] for w in words if w in self.seen}
-        self._learn(fresh)
-        table = list(map(self.seen.__getitem__, words))
+        pieces = coded.dictionary
+        # A piece is a word of letters and the signs at its end, or one unit as it is.
+        unit, end = pieces, pa.nulls(len(pieces), pa.string()).fill_null("")
+        if self.by_words:
+            bare = pc.utf8_rtrim(pieces, ".,;:!?")
+            worded = np.fromiter(map(str.isalpha, bare.to_numpy(zero_copy_only=False).tolist()), bool, len(bare))
+            unit = pc.if_else(pa.array(worded), bare, pieces)
+            size = pc.binary_length(pieces).to_numpy().astype(np.int64)
+            # The signs that are cut off are single bytes.
+            cut = np.where(worded, size - pc.binary_length(bare).to_numpy(), 0)
+            some = np.flatnonzero(cut)
+            tails = [p[-n:] for p, n in zip(pieces.take(pa.array(some)).to_numpy(zero_copy_only=False).tolist(), cut[some].tolist(), strict=True)]
+            every = np.full(len(pieces), "", object)
+            every[some] = tails
+            end = pa.array(every, pa.string())
+        units, ends = unit.dictionary_encode(), end.dictionary_encode()
+        u, e = self._slots(units.dictionary.to_numpy(zero_copy_only=False).tolist(), ends.dictionary.to_numpy(zero_copy_only=False).tolist())
+        u, e = u[units.indices.to_numpy()], e[ends.indices.to_numpy()]
+        whole = u < 0
+        for c in self.added:
+            whole |= pc.match_substring(pieces, c).to_numpy(zero_copy_only=False)
+        # The ids of each distinct piece, one piece after the other.
+        u = np.maximum(u, 0)
+        lengths = np.where(whole, 0, np.stack([self.lengths[u], self.lengths[e]]))
+        starts = np.stack([self.starts[u], self.starts[e]])
+        table = self.blob[ranges(starts.T.ravel(), lengths.T.ravel())]
+        length = lengths.sum(0)
         count = np.diff(at)
         # A text with an odd piece is encoded whole; in the others the first piece has no space before it.
-        odd = np.zeros(len(count), bool)
-        if None in table:
-            whole = np.array([k is None for k in table])
-            odd = np.add.reduceat(whole[index].astype(np.int64), at[:-1]) > 0
-            table = [k or b"" for k in table]
+        odd = np.add.reduceat(whole[index].astype(np.int64), at[:-1]) > 0
         for c in self.spaced:
             odd |= pc.match_substring(pc.fill_null(texts, ""), c).to_numpy(zero_copy_only=False)
-        heads: dict[int, bytes] = {}
+        heads: dict[int, np.ndarray] = {}
         first = []
         for i, (o, k) in enumerate(zip(odd.tolist(), index[at[:-1]].tolist(), strict=True)):
             if o:
-                first.append(self._ids(texts[i].as_py() or "").tobytes())
+                first.append(self._ids(texts[i].as_py() or ""))
             else:
                 if k not in heads:
-                    heads[k] = self._ids(words[k]).tobytes()
+                    heads[k] = self._ids(pieces[k].as_py())
                 first.append(heads[k])
-        size = self.dtype.itemsize
-        length = np.fromiter(map(len, table), np.int64, len(table)) // size
-        blob = np.frombuffer(b"".join([*table, *first]), self.dtype)
+        blob = np.concatenate([table, *first])
         # The pieces of all texts as places in the blob; a first piece takes the place of its entry.
         lengths = length[index]
         starts = (np.cumsum(length) - length)[index]
         if odd.any():
             lengths[np.repeat(odd, count)] = 0
-        own = np.fromiter(map(len, first), np.int64, len(first)) // size
+        own = np.fromiter(map(len, first), np.int64, len(first))
         lengths[at[:-1]] = own
         starts[at[:-1]] = int(length.sum()) + np.cumsum(own) - own
         return blob[ranges(starts, lengths)], np.add.reduceat(lengths, at[:-1])

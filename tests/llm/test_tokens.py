@@ -44,6 +44,16 @@ def test_added_tokens_are_the_librarys():
     assert encoded(texts) == want and want[0] == [50256]
 
 
+def test_a_full_memory_starts_anew(monkeypatch):
+    from pricebook.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMORY", 50)
+    texts = [prose(40 + k, 60, 30 + k) + " été, <b> 1.5 naïve. x" for k in range(6)]
+    own = TextEncoder(PATH)
+    got = [own.encode(pa.array([t])) for t in texts]
+    assert [list(map(int, ids)) for ids, _ in got] == plain(texts) and len(own.slot) < 200
+
+
 def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 50, None, "b" * 10_000, "", "c"]})
     parts = list(slices(batch, "t", 600))
