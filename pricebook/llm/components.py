@@ -68,10 +68,12 @@ def components(links: DataFrame) -> DataFrame:
     while blocks > 1:
         # Large star: neighbours above a vertex are tied to the least vertex near it.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written first: a plain join of two tables is one that Spark can split at the centre of a large star.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         edges = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # Small star: neighbours below a vertex, and itself, are tied to the least of them.
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
+        edges = materialize(edges, "edges")
+        least = materialize(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
         tied = edges.join(least, "b")
         edges = tied.select(F.col("m").alias("x"), F.col("a").alias("y")).union(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
         edges = edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from pricebook.session import materialize
 
@@ -314,10 +315,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links lead to, its own included.
 
     A null text, or one without words, has no shingles and is linked with nothing; fewer words than ``width`` are
-    one shingle.  Equal sets are linked.  Rows with the same doc_id are rows of their own; a null doc_id is never the
-    smallest.  No rows give no rows; other columns are not read.  Sets and shingles are compared by 64-bit hashes.
+    one shingle.  Equal sets are linked.  Rows with the same doc_id are rows of their own, also with different texts; a
+    null doc_id is never the smallest, and links through rows without an id count.  No rows give no rows; other columns
+    are not read.  Sets and shingles are compared by 64-bit hashes.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return near_sets(docs, width, percent, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """Per row: doc_id, the ``keep`` columns, n (shingles), root (a number of the row's group; null without shingles) and component_id."""
+    kept = list(keep or {})
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in (keep or {}).items()])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -325,9 +333,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
                 sets = Sets(batch.column("text"), width)
                 sketch = sets.sketches()
                 at = pa.array(np.arange(len(sketch) + 1, dtype=np.int32) * sketch.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.number), pa.array(sets.n), pa.ListArray.from_arrays(at, pa.array(sketch.ravel()))], ["doc_id", "v", "n", "sketch"])
+                columns = [batch.column("doc_id"), *[batch.column(k) for k in kept], pa.array(sets.number), pa.array(sets.n), pa.ListArray.from_arrays(at, pa.array(sketch.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "v", "n", "sketch"])
 
-    told = materialize(rows.mapInArrow(tell, "doc_id long, v long, n long, sketch array<long>"), "sets")
+    schema = StructType([rows.schema["doc_id"], *[rows.schema[k] for k in kept], *StructType.fromDDL("v long, n long, sketch array<long>").fields])
+    told = materialize(rows.mapInArrow(tell, schema), "sets")
     some = told.filter("n > 0")
     # One document stands for all with the same set.
     sets = materialize(some.groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
@@ -346,11 +356,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     left = materialize(held.join(slack, "entry").filter("n >= slack").select(number.alias("v")).distinct(), "left")
     near = materialize(_in_blocks(left.join(sets, "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), percent), "near")
     links, roots = _linked(near, sets, rows, links, width, percent)
-    named = told.select("doc_id", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    named = materialize(named.select("doc_id", "n", F.when(F.col("n") > 0, F.col("root")).alias("root")), "named")
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Groups are worked out by set, written, and joined with the rows once: plain joins, which Spark can split where a
+    # group or a set is large.
+    grouped = sets.select("v", "rep").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "rep")
+    grouped = materialize(grouped, "grouped")
+    least = materialize(grouped.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    of_set = materialize(grouped.select("v", "root").join(least, "root"), "named")
+    some = told.filter("n > 0").select("doc_id", *kept, "n", "v").join(of_set, "v")
+    none = told.filter("n = 0").select("doc_id", *kept, "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return some.select("doc_id", *kept, "n", "root", F.col("least").alias("component_id")).union(none)
 
 
 def _in_blocks(sets: DataFrame, percent: int) -> DataFrame:
@@ -409,7 +423,7 @@ def _linked(found: DataFrame, sets: DataFrame, rows: DataFrame, links: DataFrame
     pairs = pairs.join(left, F.col("a") == F.col("l.v")).join(right, F.col("b") == F.col("r.v")).filter(_is_near("l", "r", percent))
     pairs = materialize(pairs.select("a", "b", F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b")), "pairs")
     wanted = pairs.select(F.col("a").alias("v"), F.col("rep_a").alias("rep")).union(pairs.select(F.col("b").alias("v"), F.col("rep_b").alias("rep"))).distinct()
-    own = _picked(rows, wanted).groupBy("v").agg(F.first("text").alias("text"))
+    own = _picked(rows, wanted, width).groupBy("v").agg(F.first("text").alias("text"))
     own = materialize(own, "texts")
     # First every set with its smallest neighbour, then what that leaves unconnected: a text goes out once or twice.
     pairs = pairs.select("a", "b")
@@ -425,8 +439,12 @@ def _linked(found: DataFrame, sets: DataFrame, rows: DataFrame, links: DataFrame
     return links, materialize(components(links), "roots")
 
 
-def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (text) of the wanted documents (v, rep): a Bloom filter of fixed size spares most others the shuffle."""
+def _picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(v, text) of the wanted sets (v, rep): a Bloom filter of fixed size over their documents spares most others the shuffle.
+
+    A row is known by its set, not by its id: ids may be null (all such rows pass the filter if a wanted set has no
+    other) and one id may stand for several texts.  So the sets of rows that pass are made again, one row of each goes on.
+    """
     bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     words = wanted.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
@@ -435,12 +453,15 @@ def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         table[r["word"]] = r["bits"]
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
+        for whole in batches:
+            bit = whole.column("bit").to_numpy()
             there = table[bit >> 6].view(_U) >> (bit & 63).astype(_U) & _U(1)
-            some = batch.select(["rep", "text"]).filter(pa.array(there.astype(bool)))
-            if some.num_rows:
-                yield some
+            for batch in slices(whole.select(["text"]).filter(pa.array(there.astype(bool))), "text", RUN_BYTES):
+                sets = Sets(batch.column("text"), width)
+                one = np.unique(sets.number, return_index=True)[1]
+                one = one[sets.n[one] > 0]
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.number[one]), batch.column("text").take(pa.array(one))], ["v", "text"])
 
-    texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").withColumn("bit", bit)
-    return texts.mapInArrow(sift, "rep long, text string").join(wanted, "rep")
+    texts = rows.filter("text IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").withColumn("bit", bit)
+    return texts.select("text", "bit").mapInArrow(sift, "v long, text string").join(wanted.select("v").distinct(), "v")

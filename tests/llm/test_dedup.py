@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pricebook.llm import near
+from pricebook.llm import components as parts, near
 from pricebook.llm.components import components
 from pricebook.llm.near import near_groups
 from pricebook.llm.substrings import remove_repeats
@@ -139,6 +139,21 @@ def test_near_copies_against_brute_force(spark, width, percent):
     assert sorted(got, key=repr) == sorted(groups_by_hand(texts, ids, width, percent), key=repr)
 
 
+def test_near_copies_without_ids_and_with_shared_ids(spark):
+    """Links through rows without an id count, and an id that stands for several texts is no text's name."""
+    base, other, third = prose(900, 50), prose(901, 70), prose(902, 90)
+    rows = [(1, base), (None, edited(base, 1, 1)), (2, edited(base, 2, 2)), (7, other), (7, third), (8, edited(third, 1, 3)), (9, edited(other, 1, 4))]
+    # A chain that hangs together only by a text without an id, in a group without any id, and copies of it.
+    chain = [prose(903, 100)]
+    for k in range(5):
+        chain.append(edited(chain[-1], 2, 50 + k))
+    rows += [(20, chain[0]), *((None, t) for t in chain[1:5]), (21, chain[5]), *[(None, chain[3])] * 40]
+    rows += [(None, prose(904, 60)), (None, edited(prose(904, 60), 1, 9))]
+    ids, texts = [i for i, _ in rows], [t for _, t in rows]
+    got = [tuple(r) for r in near_groups(frame(spark, texts, ids=ids).repartition(3), 5, 80).collect()]
+    assert sorted(got, key=repr) == sorted(groups_by_hand(texts, ids, 5, 80), key=repr)
+
+
 def test_every_key_crowded(spark, monkeypatch):
     # With all keys crowded only centres and blocks find links; none may be lost.
     monkeypatch.setattr(near, "CENTRES", 1)
@@ -193,7 +208,9 @@ def test_near_copies_of_no_rows(spark):
     assert sorted(tuple(r) for r in near_groups(frame(spark, [None, "", None])).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [8, 500_000])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(parts, "BLOCK", block)
     r = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(50)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)] + [(7, 7)]
     got = {x["v"]: x["root"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
