@@ -34,6 +34,8 @@ def chi_square(p: int, z: float) -> float:
 CUT = chi_square(len(DIMENSIONS), 3.0902)
 #: A fit goes on while a step lowers the logarithm of the covariance's determinant by more than this.
 STILL = 1e-3
+#: Groups whose fits (a few hundred bytes each) are broadcast.
+GROUPS = 10_000
 
 
 def with_counts(rows: DataFrame, width: int = 5) -> DataFrame:
@@ -111,11 +113,17 @@ def _distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
+def _with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the fit of their group.  A written fit has one row per group and is broadcast if there are few groups, so
+    that a large group is not gathered by its join; beyond ``GROUPS`` of them Spark joins and splits as it sees fit."""
+    return rows.join(F.broadcast(fit) if fit.count() <= GROUPS else fit, "g", how)
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and median absolute deviations as a diagonal covariance."""
     p = len(DIMENSIONS)
     medians = materialize(rows.groupBy("g").agg(*(F.percentile_approx(d, 0.5).alias(_named("m", i)) for i, d in enumerate(DIMENSIONS))), "fit")
-    spread = rows.join(medians, "g").groupBy("g").agg(
+    spread = _with_fit(rows, medians).groupBy("g").agg(
         *(F.first(_named("m", i)).alias(_named("m", i)) for i in range(p)),
         *(F.percentile_approx(F.abs(F.col(d) - F.col(_named("m", i))), 0.5).alias(_named("d", i)) for i, d in enumerate(DIMENSIONS)),
     )
@@ -129,9 +137,9 @@ def _start(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, fit: DataFrame, share: float) -> DataFrame:
     """One concentration step: the closest documents of each group, fitted again."""
     p = len(DIMENSIONS)
-    near = rows.join(fit, "g").select("g", *DIMENSIONS, _distance().alias("d2"))
+    near = _with_fit(rows, fit).select("g", *DIMENSIONS, _distance().alias("d2"))
     bound = materialize(near.groupBy("g").agg(F.percentile_approx("d2", share).alias("bound")), "fit")
-    near = near.join(bound, "g").filter("d2 <= bound")
+    near = _with_fit(near, bound).filter("d2 <= bound")
     fitted = near.groupBy("g").agg(
         *(F.avg(d).alias(_named("m", i)) for i, d in enumerate(DIMENSIONS)),
         *(F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(_named("c", i, j)) for i in range(p) for j in range(i + 1)),
@@ -152,7 +160,7 @@ def _fitted(rows: DataFrame, share: float) -> DataFrame:
     names = ["g", *(_named("m", i) for i in range(p)), *(_named("l", i, j) for i in range(p) for j in range(i + 1))]
     size = sum((F.log(_named("l", i, i)) for i in range(1, p)), F.log(_named("l", 0, 0))) * 2
     # The start's covariance is not of a share of the documents; the first step is always taken.
-    going = materialize(_step(rows, _start(rows), share), "fit")
+    going = materialize(_step(rows, materialize(_start(rows), "fit"), share), "fit")
     done: DataFrame | None = None
     while True:
         new = _step(rows, going, share).withColumn("size", size)
@@ -187,11 +195,11 @@ def judge(docs: DataFrame, share: float = 0.75, cut: float = CUT, least: int = 1
     columns = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     told = materialize(told.select(*columns, *_vector(), g.alias("g")), "statistics")
     good = told.filter("NOT base_failed")
-    fit = _fitted(good, share)
-    measured = told.join(fit, "g", "left").withColumn("distance", _distance())
+    fit = materialize(_fitted(good, share), "fit")
+    measured = _with_fit(told, fit, "left").withColumn("distance", _distance())
     # The fit covers the closest part of a group: its scale is mended so that the median is at most that of a normal
     # law. It may be less, as a statistic that hardly varies beside its floor adds nothing.
-    middle = good.join(fit, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5).alias("middle"))
+    middle = _with_fit(good, fit).groupBy("g").agg(F.percentile_approx(_distance(), 0.5).alias("middle"))
     scale = F.greatest(F.lit(1.0), F.coalesce("middle", F.lit(0.0)) / chi_square(len(DIMENSIONS), 0.0))
-    measured = measured.join(materialize(middle, "fit"), "g", "left").withColumn("distance", F.col("distance") / scale)
+    measured = _with_fit(measured, materialize(middle, "fit"), "left").withColumn("distance", F.col("distance") / scale)
     return measured.select(*columns, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))

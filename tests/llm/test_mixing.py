@@ -40,7 +40,9 @@ def test_targets_and_copies(spark):
         assert abs(taken - want) <= 2 * max(r["size"] for r in mine)
         rate = want / own[s]
         assert all(int(rate) <= r["copies"] <= int(rate) + 1 for r in mine)
-    assert got.sort(key=lambda r: r["doc_id"]) == plan_of(df).sort(key=lambda r: r["doc_id"])
+    # Reruns agree, however the rows are dealt out.
+    again = plan_of(df.repartition(7))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) > 0
 
 
 def test_odd_rows(spark):
