@@ -77,10 +77,21 @@ def test_stages(spark, folder):
     assert all(np.frombuffer(p["ids"], "<u4")[-1] == 0 for p in pieces if p["start"] + p["length"] == p["doc_tokens"])
 
 
+def test_near_copies_without_ids_and_with_shared_ids(spark):
+    a, b, c = prose(50, 60), prose(51, 60), prose(52, 60)
+    rows = [(None, a), (1, edited(a, 1, 1)), (2, edited(a, 1, 2)), (3, b), (3, c), (3, c), (None, c), (None, edited(prose(53, 60), 0, 0)), (None, prose(53, 60)), (4, None), (4, None), (5, " "), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "")
+    assert got.columns == COLUMNS
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    want = [(1, edited(a, 1, 1)), (3, b), (3, c), (None, prose(53, 60)), (4, None), (4, None), (5, " "), (None, "")]
+    assert kept == sorted(want, key=repr)
+
+
 def test_run_and_registration(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and "sequence_id" in out.columns
     names = entry.queries()
     assert names["pipeline"] is corpus_pipeline.run and set(QUERIES) <= set(names) and set(ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
