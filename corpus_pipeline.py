@@ -12,9 +12,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from pricebook.llm.base import documents, tokenizer  # noqa: E402
+from pricebook.llm.base import WORD, documents, tokenizer  # noqa: E402
 from pricebook.llm.mixing import mix  # noqa: E402
-from pricebook.llm.near import near_groups  # noqa: E402
+from pricebook.llm.near import near_sets  # noqa: E402
 from pricebook.llm.packing import pack  # noqa: E402
 from pricebook.llm.secrets import scan  # noqa: E402
 from pricebook.llm.toxicity import fit, score  # noqa: E402
@@ -34,14 +34,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (five-word shingles, similarity 0.8).
+    """Of each group of near copies one row stays, that of the smallest id (five-word shingles, similarity 0.8).
 
-    Rows with the same id are one document.  Rows without an id cannot be told apart and stay.
+    A row is known by its id and a hash of its text, so rows with one id and different texts are judged each for itself, and
+    rows without an id take part like others (and stay only where their whole group has no id).  Rows without words stay.
     """
-    groups = near_groups(docs, width=5, percent=80)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.filter("doc_id IS NULL"))
+    text = F.xxhash64("text")
+    groups = near_sets(docs, width=5, percent=80, keep={"content": text}).filter("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "content"))
+    stay = materialize(groups.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("s_id"), F.col("f.content").alias("s_content")), "stay")
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("k_id"), text.alias("k_content"), wordy.alias("wordy"))
+    named = rows.filter("wordy").join(stay, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_content") == F.col("s_content")))
+    # Repeated rows of the one that stays are one document.
+    return named.dropDuplicates(["k_id", "k_content"]).select("row.*").union(rows.filter("NOT wordy").select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
