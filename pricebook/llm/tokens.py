@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units remembered by one Python worker; beyond it they are learned anew (a matter of speed only).
-MEMORY = 800_000
+MEMORY = 400_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 6_000_000
 
@@ -114,9 +114,11 @@ class TextEncoder:
             words = [w for w in words if not w.isascii()]
             spelled = [self.spelling[0x20] + w for w in plain] + (self._spelled(words) if words else [])
             words = plain + words
-            tokens = list(map(self.tok.model.tokenize, spelled))
-            found.append(np.array([t.id for own in tokens for t in own], self.dtype))
-            counts.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            # Some at a time: the library's tokens are objects of a hundred bytes and more.
+            for at in range(0, len(spelled), 8192):
+                tokens = list(map(self.tok.model.tokenize, spelled[at : at + 8192]))
+                found.append(np.array([t.id for own in tokens for t in own], self.dtype))
+                counts.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
             names += words
         other = [w for w in new if not w.isalpha()] if self.by_words else new
         bad = [w for w in other if not w or w[:1].isspace() or w[-1:].isspace()]
