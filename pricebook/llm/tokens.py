@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units remembered by one Python worker; beyond it they are learned anew (a matter of speed only).
-MEMORY = 400_000
+MEMORY = 800_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 6_000_000
 
