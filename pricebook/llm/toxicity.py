@@ -37,9 +37,11 @@ MOST_LETTERS = 94
 #: Labelled rows that a fit reads at most, taken by a hash of their id.
 TRAIN_ROWS = 20_000
 #: Disguised words remembered by a worker.
-MEMORY = 100_000
+MEMORY = 50_000
 #: Bytes of text taken apart at once.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
+#: Bytes of text whose letters are counted at once.
+COUNT_BYTES = 500_000
 
 #: What signs may stand for besides themselves.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "ß": "b"}
@@ -283,7 +285,7 @@ def alphabet(docs: DataFrame, text: str = "text", most: int = MOST_LETTERS) -> s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", RUN_BYTES):
+            for batch in slices(whole, "text", COUNT_BYTES):
                 n = np.bincount(_signs(batch.column(0).to_pylist()))
                 total[: len(n)] += n
         some = np.array([v for v in np.flatnonzero(total).tolist() if v > 127 and chr(v).isalpha()], np.int64)
@@ -300,15 +302,15 @@ def character_model(docs: DataFrame, text: str = "text", letters: str = ASCII) -
     cells = size**3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array([size - 1 if chr(v).isalpha() else 0 for v in range(0x110000)], np.uint8)
+        table = np.fromiter((size - 1 if chr(v).isalpha() else 0 for v in range(0x110000)), np.uint8, 0x110000)
         table[[ord(c) for c in letters]] = np.arange(1, size - 1)
         total = np.zeros(cells, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", RUN_BYTES):
+            for batch in slices(whole, "text", COUNT_BYTES):
                 code = table[_signs(batch.column(0).to_pylist())]
-                code = np.concatenate([[0, 0], code, [0]])
+                code = np.concatenate([[0, 0], code, [0]], dtype=np.int32)
                 twice = (code[1:] == 0) & (code[:-1] == 0)
-                code = np.concatenate([[0, 0], code[1:][~twice]])
+                code = np.concatenate([[0, 0], code[1:][~twice]], dtype=np.int32)
                 total += np.bincount((code[:-2] * size + code[1:-1]) * size + code[2:], minlength=cells)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
