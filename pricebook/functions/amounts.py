@@ -188,12 +188,13 @@ PACK_COUNT_SHAPES = [
     r"(?i)(?<![a-z0-9\-])[x×]\s*(\d{1,3})\s*(?:vials?|pcs|pieces)(?![A-Za-z0-9_])",
     r"(?i)(?<![\d.,])(\d{1,2})\s*[x×]\s*\d",
 ]
+#: Larger numbers are not counts of containers.
 MAX_PACK = 100
 
 
-def pack_counts(c: Column) -> Column:
-    """AMT-7: the distinct container counts (2..100) a text states, in order of the shapes."""
+def pack_counts(c: Column, most: int = MAX_PACK) -> Column:
+    """AMT-7: the distinct container counts (2 to ``most``) a text states, in order of the shapes."""
     found = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in PACK_COUNT_SHAPES])
     words = F.create_map(*[F.lit(x) for kv in WORD_NUMBERS.items() for x in kv])
     counts = F.transform(found, lambda n: F.coalesce(F.element_at(words, ascii_lower(n)), n.try_cast("int")))
-    return F.array_distinct(F.filter(counts, lambda n: (n > 1) & (n <= MAX_PACK)))
+    return F.array_distinct(F.filter(counts, lambda n: (n > 1) & (n <= most)))

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricebook import schemas as sc
+from pricebook.functions.amounts import pack_counts
+from pricebook.functions.dose import extract_count
 from pricebook.operators import clicks as k, lifecycle as lc, prices as p, validate as v
 from pricebook.plans.ingest import ingest
 from pricebook.plans.ordered import with_previous
-from pricebook.settings import Settings
+from pricebook.settings import Settings, site_settings
 from pricebook.sources.feed import feed_metadata, read_canonicals, read_ingredients, read_offer_feed
 
 NOW = datetime(2024, 5, 1)
@@ -162,6 +164,25 @@ def test_settings_are_clamped():
     assert (s.warn_hours, s.min_offers_to_publish, s.stale_minutes) == (1, 100, 5)
 
 
+def test_settings_of_sites(spark):
+    rows = [
+        (1, "currency", "e1u2r3o"), (1, "stale_minutes", "-7 min"), (1, "price_move_days", "99999999999999999999"), (1, "min_offers_to_publish", "abc"),
+        (1, "default_view", " Cost_Per_Serving"), (2, "other", "x"), (2, "hide_hours", None), (2, "warn_hours", "0"), (None, "warn_hours", "5"), (3, "warn_hours", "2"), (3, "warn_hours", "3"),
+    ]
+    got = {r["site_id"]: r for r in site_settings(spark.createDataFrame(rows, "site_id long, name string, value string")).collect()}
+    one, two = got[1], got[2]
+    assert (one["currency"], one["stale_minutes"], one["price_move_days"], one["min_offers_to_publish"], one["default_view"]) == ("EUR", 7, 3650, 1, "cost_per_serving")
+    assert (two["currency"], two["warn_hours"], two["hide_hours"], two["default_view"]) == ("USD", 1, 168, "cost_per_active_unit")
+    assert got[None]["warn_hours"] == 5 and got[3]["warn_hours"] == 3 and len(got) == 4
+    assert Settings(price_move_days=9999, default_view="?").price_move_days == 3650 and Settings(default_view="?") == Settings()
+
+
+def test_limits_of_counts(spark):
+    row = spark.sql("SELECT 'pack of 120, 6000 capsules' AS t")
+    told = row.select(pack_counts(F.col("t")).alias("a"), pack_counts(F.col("t"), most=200).alias("b"), extract_count(F.col("t")).alias("c"), extract_count(F.col("t"), most=9_999).alias("d")).first()
+    assert (told["a"], told["b"], told["c"], told["d"]) == ([], [120], None, 6000)
+
+
 def test_validation_names_the_first_broken_rule(spark):
     rows = feed(spark, [("1", "", "T", "1")]).withColumns({"source": F.lit("ebay"), "stock_status": F.lit("?")})
     assert v.validate_rows(rows).first()["error"] == "source is not allowed"

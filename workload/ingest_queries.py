@@ -8,9 +8,10 @@ from pricebook.functions.costs import canonical_derived, reconcile_totals, seed_
 from pricebook.operators import lifecycle as lc, validate as v
 from pricebook.plans import ingest as ing
 from pricebook.session import materialize
+from pricebook.settings import site_settings as settings_of
 from pricebook.sources.feed import feed_metadata, union_feeds
 
-from .base import NOW, NOW_SQL, ROUND, query
+from .base import NOW, NOW_SQL, ROUND, VIEWS, query, view
 from .data import Data
 
 # The first broken rule of a feed row, and the rows that pass all row rules and the merchant gate.
@@ -433,3 +434,35 @@ def reconcile(spark, sf):
     o = Data(spark, sf).offers
     seed = seed_total(F.col("total_active_per_container"), F.lit(None).cast("double"), F.col("strength_per_serving"), F.col("servings_per_container"))
     return reconcile_totals(o.withColumn("seed", seed)).select("id", F.col("total_active_per_container").alias("total"), F.col("strength_per_serving").alias("strength"), "seed")
+
+
+# Every customer is a site; its options are stored as text, some out of range, some not stored.
+VIEWS["v_site_options"] = """
+SELECT c_custkey AS site_id, 'currency' AS name, CASE c_custkey % 6 WHEN 0 THEN 'eur' WHEN 1 THEN ' g-b-p ' WHEN 2 THEN 'Dollars' WHEN 3 THEN '12'
+    WHEN 4 THEN '' ELSE concat('x', substr(c_mktsegment, 1, 2)) END AS value FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT c_custkey, 'default_view', CASE c_custkey % 5 WHEN 0 THEN 'cost_per_serving' WHEN 1 THEN 'Cost_Per_Serving !' WHEN 2 THEN 'cost-per-serving'
+    WHEN 3 THEN '' ELSE 'cost_per_active_unit' END FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'warn_hours', CAST(c_custkey % 97 - 48 AS STRING) FROM customer WHERE c_custkey % 5 <> 1
+UNION ALL SELECT c_custkey, 'hide_hours', concat(' ', CAST(c_custkey % 400 AS STRING), ' h') FROM customer WHERE c_custkey % 5 <> 2
+UNION ALL SELECT c_custkey, 'price_move_days', CASE WHEN c_custkey % 4 = 0 THEN 'never' ELSE CAST(c_custkey * 37 % 9000 AS STRING) END FROM customer WHERE c_custkey % 5 <> 3
+UNION ALL SELECT c_custkey, 'min_offers_to_publish', CAST(c_custkey % 150 AS STRING) FROM customer WHERE c_custkey % 5 <> 4
+UNION ALL SELECT c_custkey, 'stale_minutes', concat(CAST(c_custkey % 3000 AS STRING), '.9') FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT c_custkey, 'unknown', 'kept out' FROM customer"""
+
+# The numbers behind the stored texts, moved into their ranges.
+SITE_SETTINGS = """
+SELECT c_custkey AS site_id,
+  CASE WHEN c_custkey % 7 = 0 THEN 'USD' ELSE CASE c_custkey % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'DOL' WHEN 3 THEN 'USD' WHEN 4 THEN 'USD'
+    ELSE upper(concat('x', substr(c_mktsegment, 1, 2))) END END AS currency,
+  CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 IN (0, 1) THEN 'cost_per_serving' ELSE 'cost_per_active_unit' END AS default_view,
+  CAST(CASE WHEN c_custkey % 5 = 1 THEN 48 ELSE greatest(1, abs(c_custkey % 97 - 48)) END AS BIGINT) AS warn_hours,
+  CAST(CASE WHEN c_custkey % 5 = 2 THEN 168 ELSE greatest(1, c_custkey % 400) END AS BIGINT) AS hide_hours,
+  CAST(CASE WHEN c_custkey % 5 = 3 THEN 30 WHEN c_custkey % 4 = 0 THEN 0 ELSE least(3650, c_custkey * 37 % 9000) END AS BIGINT) AS price_move_days,
+  CAST(CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE least(100, greatest(1, c_custkey % 150)) END AS BIGINT) AS min_offers_to_publish,
+  CAST(CASE WHEN c_custkey % 5 = 0 THEN 30 ELSE least(1440, greatest(5, c_custkey % 3000)) END AS BIGINT) AS stale_minutes
+FROM customer"""
+
+
+@query("site_settings", SITE_SETTINGS)
+def site_settings(spark, sf):
+    return settings_of(view(spark, sf, "v_site_options"))
