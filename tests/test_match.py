@@ -95,3 +95,21 @@ def test_review_hints(spark):
     cases = [(10.0, "g", 10.0, "mg", "x", "unit slip: g stored, mg listed"), (1.0, "mg", 1.0, "g", "x", "unit slip: mg stored, g listed"), (5.0, "mg", 5000.0, "mg", "x", "1000 times off"), (5.0, "mg", 50.0, "mg", "x", "listing is 10 times stored"), (5.0, "mg", 5.3, "mg", "x", ""), (5.0, "mg", None, "mg", "x", "")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, truth double, truth_unit string, fill_total double, fill_unit string, fill_source string, want string")
     assert all(r["h"] == r["want"] for r in df.select("want", tot.review_hint().alias("h")).collect())
+
+
+def test_listings_of_small_files_are_not_sent_to_the_driver(spark, tmp_path):
+    # 100,000 rows in some kilobytes of files: by the files' size alone the planner would broadcast them.
+    spark.range(100000).select("id", F.lit("pure zinc oxide 10mg").alias("x"), F.lit(1).cast("bigint").alias("merchant_id"), F.lit("zinc").alias("title_key")).write.parquet(str(tmp_path / "l"))
+    df = spark.read.parquet(str(tmp_path / "l"))
+    ing = spark.createDataFrame([Row(id=1, name="Zinc Oxide", aliases=["Oxide"], status="active"), Row(id=2, name="Iron", aliases=[], status="active")], "id bigint, name string, aliases array<string>, status string")
+    memory = spark.createDataFrame([(1, "zinc", 1, "z", "m", 1, None)], MEMORY)
+    canon = spark.createDataFrame([(1, 1, None, None, None, "active")], CANON)
+
+    def listings_broadcast(out) -> bool:
+        return "BuildLeft" in out._jdf.queryExecution().executedPlan().toString()
+
+    few, many = m.detect_ingredient(df, ing, "x"), m.detect_ingredient(df, ing, "x", most_names=0)
+    found = [m.tier_memory_own(df, memory, canon), m.tier_memory_others(df, memory, canon)]
+    assert not any(listings_broadcast(out) for out in [few, many, *found])
+    for out, column, one in [(few, "detected_ingredient_id", 1), (many, "detected_ingredient_id", 1)] + [(t, "canonical_product_id", 1) for t in found]:
+        assert [tuple(r) for r in out.groupBy(column).count().collect()] == [(one, 100000)]
