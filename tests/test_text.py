@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from pricebook.functions import amounts as a, attributes as at, dose, money, text as t, urls as u
+from pricebook.functions import amounts as a, attributes as at, dose, money, scan, text as t, urls as u
 
 
 def rows(spark, cases, column):
@@ -133,3 +135,11 @@ def test_deep_parser_agrees_with_the_library():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_places_of_terms_and_amounts_are_found_by_their_first_character():
+    terms = ["total", "per bag", "1 scoop", "(net"]
+    assert scan.any_of(terms).startswith("(?=[") and a.AMOUNT.startswith("(?iu)(?=[0-9])")
+    for text in ["in total", "per bags", "1 scoops", "a (net", "tota l", "11 scop", ""]:
+        plain = any(t in text for t in terms)
+        assert bool(re.search(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), scan.any_of(terms)), text)) == plain
