@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import cell
 from workload.base import TABLES
+from workload.data import Data
+from workload.file_queries import csv_folder
+from workload.source_queries import mapped_payloads
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["cheapest_offer_per_canonical", "compare_list", "flag_duplicate_keys", "price_changes", "rapid_fire_day", "shopify_to_offers", "extract_strength", "with_siblings"]
@@ -29,3 +33,14 @@ def test_query_equals_sql(spark, name):
     df = entry.queries()[name](spark, SF)
     mine = sorted(tuple(cell(r[c]) for c in sorted(df.columns)) for r in df.collect())
     assert sorted(names) == sorted(df.columns) and mine == theirs
+
+
+def test_inputs_are_dealt_out_and_built_once(spark):
+    d = Data(spark, SF, keep=True)
+    for df in (d.offers, d.memory, d.suppressions):
+        assert "lineitem" not in " ".join(df.inputFiles())
+    kept, built = d.offers.drop("operator_fields"), Data(spark, SF).offers.drop("operator_fields")
+    assert kept.exceptAll(built).isEmpty() and built.exceptAll(kept).isEmpty()
+    files = spark.read.text(csv_folder(spark.range(1000).coalesce(1).withColumn("x", F.lit("a")), "feed", most_rows=300)).inputFiles()
+    assert len(files) == 4
+    assert mapped_payloads(d).rdd.getNumPartitions() >= 4

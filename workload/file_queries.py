@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pricebook.operators import catalog as c
 from pricebook.plans import ingest as ing
-from pricebook.session import shared_dir
+from pricebook.session import materialize, shared_dir
 from pricebook.sources.feed import read_canonicals, read_ingredients, read_offer_feed
 
 from .base import NOW, query
@@ -17,10 +17,10 @@ from .data import Data
 from .ingest_queries import GOOD, good
 
 
-def csv_folder(df: DataFrame, purpose: str) -> str:
-    """The rows as a folder of CSV files, every cell quoted and kept as it is."""
+def csv_folder(df: DataFrame, purpose: str, most_rows: int = 250_000) -> str:
+    """The rows as a folder of CSV files of at most so many rows (a file is read by one task), every cell quoted and kept as it is."""
     path = shared_dir(df.sparkSession, purpose)
-    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"', "header": True}
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"', "header": True, "maxRecordsPerFile": most_rows}
     df.write.options(**keep).csv(path)
     return path
 
@@ -92,7 +92,7 @@ def catalog_written(spark, sf):
     f"SELECT r AS import_run_id, source_product_id, product_title FROM ({GOOD}) g, (SELECT unnest([7, 8]) AS r) runs",
 )
 def raw_appended(spark, sf):
-    path, rows = shared_dir(spark, "raw"), good(spark, sf)
+    path, rows = shared_dir(spark, "raw"), materialize(good(spark, sf), "good")
     for run in (7, 8):
         ing.append_raw(ing.raw_rows(rows, run, NOW), path)
     return spark.read.parquet(path).select(F.col("import_run_id").cast("bigint"), "source_product_id", F.get_json_object("raw_json", "$.product_title").alias("product_title"))

@@ -120,10 +120,10 @@ def split_insert_update(spark, sf):
 ON s.merchant_id = g.merchant_id AND s.source_product_id = g.source_product_id AND s.source_variant_id = g.source_variant_id""",
 )
 def drop_suppressed(spark, sf):
-    d = Data(spark, sf)
-    rows = good(spark, sf)
-    kept = lc.drop_suppressed(rows, d.suppressions).select("row_num", F.lit(False).alias("suppressed"))
-    return kept.unionByName(lc.suppressed_rows(rows, d.suppressions).select("row_num", F.lit(True).alias("suppressed")))
+    # Both are read twice.
+    rows, suppressions = materialize(good(spark, sf), "good"), materialize(Data(spark, sf).suppressions, "suppressions")
+    kept = lc.drop_suppressed(rows, suppressions).select("row_num", F.lit(False).alias("suppressed"))
+    return kept.unionByName(lc.suppressed_rows(rows, suppressions).select("row_num", F.lit(True).alias("suppressed")))
 
 
 @query(
@@ -347,9 +347,10 @@ UNION ALL SELECT 'clicks_with_offer', count(*) FROM v_clicks WHERE offer_id NOT
 UNION ALL SELECT 'clicks', count(*) FROM v_clicks UNION ALL SELECT 'raw', count(*) FROM v_offers WHERE visibility_status <> 'rejected'""",
 )
 def delete_cascade(spark, sf):
-    d = Data(spark, sf)
-    t = {"offers": d.offers, "history": d.history, "raw": d.raw, "clicks": d.clicks, "suppressions": d.suppressions}
-    out = lc.delete_cascade("offer", d.offers, t, NOW)
+    d = Data(spark, sf, keep=True)
+    offers = materialize(d.offers, "offers")
+    t = {"offers": offers, "history": d.history, "raw": d.raw_of(offers), "clicks": d.clicks, "suppressions": d.suppressions}
+    out = lc.delete_cascade("offer", offers, t, NOW)
     out["clicks_with_offer"] = out["clicks"].where("offer_id is not null")
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n") for name, df in out.items()]
     total = parts[0]
@@ -378,9 +379,9 @@ UNION ALL SELECT 'ingredient', 'ingredients', count(*), count(*) FROM v_ingredie
 UNION ALL SELECT 'ingredient', 'offers', count(*), count(CASE WHEN ingredient_id IS NOT NULL AND ingredient_id NOT IN {LOOSE} THEN 1 END) FROM v_offers""",
 )
 def delete_cascade_kinds(spark, sf):
-    d = Data(spark, sf)
+    d = Data(spark, sf, keep=True)
     offers, clicks = materialize(d.offers, "offers"), materialize(d.clicks, "clicks")
-    t = {"offers": offers, "history": d.history, "raw": d.raw, "clicks": clicks, "suppressions": d.suppressions, "memory": d.memory, "merchants": d.merchants, "ingredients": d.ingredients}
+    t = {"offers": offers, "history": d.history, "raw": d.raw_of(offers), "clicks": clicks, "suppressions": d.suppressions, "memory": d.memory, "merchants": d.merchants, "ingredients": d.ingredients}
 
     def told(kind, tbl, df, ref=None):
         refs = F.count(F.lit(1) if ref is None else F.col(ref))

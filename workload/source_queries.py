@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pricebook.session import spread
 from pricebook.sources import mapped, pages as pg, shops
 
 from .base import query
@@ -236,7 +237,7 @@ def mapped_payloads(d: Data):
         F.lit('{"sku":"'), F.when(F.col("p_size") % 3 == 0, "").otherwise(_s("p_partkey")), F.lit('","slug":"'), "p_name", F.lit('","data":{"names":["'), "p_name", F.lit('"],"sale":"15.00"'),
         F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.lit(',"vars":['), one(1), F.lit(","), one(2), F.lit("]"))), F.lit("}}"),
     )
-    return d.table("part").select(doc.alias("json"))
+    return spread(d.table("part")).select(doc.alias("json"))
 
 
 MAPPED = """SELECT CASE WHEN p_size % 3 = 0 THEN p_name ELSE CAST(p_partkey AS STRING) END AS source_product_id, coalesce(CAST(k AS STRING), '') AS source_variant_id, p_name AS product_title,
