@@ -44,3 +44,11 @@ def test_inputs_are_dealt_out_and_built_once(spark):
     files = spark.read.text(csv_folder(spark.range(1000).coalesce(1).withColumn("x", F.lit("a")), "feed", most_rows=300)).inputFiles()
     assert len(files) == 4
     assert mapped_payloads(d).rdd.getNumPartitions() >= 4
+
+
+def test_offers_do_not_broadcast_the_part_table(spark):
+    # A row per product: by the size of its compressed file it went through the driver.
+    d = Data(spark, SF)
+    for df in (d.offers, d.memory):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("ShuffledHashJoin [" in line and "p_partkey" in line for line in plan.splitlines())
