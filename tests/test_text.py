@@ -143,3 +143,14 @@ def test_places_of_terms_and_amounts_are_found_by_their_first_character():
     for text in ["in total", "per bags", "1 scoops", "a (net", "tota l", "11 scop", ""]:
         plain = any(t in text for t in terms)
         assert bool(re.search(re.sub(r"\\Q(.*?)\\E", lambda m: re.escape(m[1]), scan.any_of(terms)), text)) == plain
+
+
+def test_texts_without_a_times_sign_are_not_cast(spark):
+    # A try_cast that fails costs an exception per text; the variant title's strength ends the search.
+    df = spark.createDataFrame([("a 30 caps",), ("x 60",), ("red jar",), ("0 caps x 20",), (None,)], "x string")
+    counts = df.select(dose.extract_count(F.col("x")).alias("n"))
+    assert [r["n"] for r in counts.collect()] == [30, 60, None, 20, None]
+    assert "filter(array(regexp_extract(" in counts._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([("5 mg", "9 g"), ("red", "9 g"), (None, "7 iu"), ("", "")], "v string, w string")
+    found = rows.select(dose.strength_of(F.col("v"), F.col("w")).alias("s"))
+    assert [r["s"] and tuple(r["s"]) for r in found.collect()] == [(5.0, "mg"), (9.0, "g"), (7.0, "IU"), None]
