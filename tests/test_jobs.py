@@ -234,6 +234,27 @@ def started(spark):
     return result, told[0]
 
 
+def test_open_run_writes_all_offers_once_per_batch(spark, tmp_path, started, monkeypatch):
+    from pricebook.plans import ingest as plan
+    from pricebook.streaming.jobs import IngestRun
+
+    sizes, write = {}, plan.materialize
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(plan, "materialize", counted)
+    run = IngestRun(started[0].tables, 2, str(tmp_path))
+    run.batch(NOW + timedelta(days=1))(feed(spark, [("3", "", "Zinc 5mg vial", "3"), ("4", "", "Zinc 7mg vial", "3")]), 0)
+    # Beside the version in the run's folder only the batch's own rows are written.
+    assert sizes and max(sizes.values()) == 2
+    totals = {r["source_product_id"]: r["total_active_per_container"] for r in run.tables()["offers"].collect()}
+    # A stored offer has the third one's title: siblings are looked for among all offers.
+    assert totals == {"1": 50.0, "2": 5.0, "3": None, "4": 7.0}
+
+
 def test_open_run_counts_each_batch_once_and_closes_all_merchants(spark, tmp_path, started):
     from pricebook.streaming.jobs import IngestRun
 
