@@ -52,3 +52,13 @@ def test_offers_do_not_broadcast_the_part_table(spark):
     for df in (d.offers, d.memory):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert any("ShuffledHashJoin [" in line and "p_partkey" in line for line in plan.splitlines())
+
+
+def test_both_catalog_versions_come_from_rows_that_are_written_once(spark, monkeypatch):
+    from workload import file_queries as q
+
+    seen = []
+    monkeypatch.setattr(q.c, "write_catalog", lambda products, offers, *rest: seen.append(products.inputFiles()))
+    monkeypatch.setattr(q.c, "read_catalog", lambda *rest: (None, spark.range(1).selectExpr("id", "id AS canonical_product_id")))
+    q.catalog_written(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and seen[0] and not [f for f in seen[0] if "lineitem" in f]

@@ -79,7 +79,9 @@ def canonical_file(spark, sf):
 
 @query("catalog_written", f"SELECT id, canonical_product_id FROM ({EXPORT}) e")
 def catalog_written(spark, sf):
-    products, offers = c.export_catalog(export(spark, sf), Data(spark, sf).history, NOW)
+    # Both versions of both tables come from the same rows, so they are written first.
+    rows = materialize(export(spark, sf), "export")
+    products, offers = c.export_catalog(rows, Data(spark, sf).history, NOW)
     path = shared_dir(spark, "catalog")
     # The second version is the published one.
     c.write_catalog(products, offers.where("id < 0"), path, NOW)
