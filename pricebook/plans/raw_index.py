@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ..operators.totals import newest_raw
 from ..schemas import KEY, RAW
 from ..streaming.state import KeyedState
 
@@ -23,7 +22,8 @@ class RawPointers:
 
     def put(self, raw: DataFrame, number: int) -> None:
         """The raw rows of the ``number``-th run, counted from 0 without gaps."""
-        self.state.put(raw.join(newest_raw(raw, raw), [*KEY, "id"], "left_semi"), number)
+        # The state keeps the highest id of each key; a row without a whole key belongs to no offer.
+        self.state.put(raw.select(*self.schema.fieldNames()).dropna(subset=KEY), number)
 
     def of(self, spark: SparkSession, offers: DataFrame, runs: int) -> DataFrame:
         """The pointers of the offers' keys after so many runs."""

@@ -66,7 +66,8 @@ class KeyedState:
         return self._newest(rows)
 
     def _write(self, rows: DataFrame, level: int, number: int) -> None:
-        spread = rows.withColumn("_bucket", self._bucket()).repartition("_bucket")
+        # Rebalanced: a small bucket is one file, a large one is written by several tasks.
+        spread = rows.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket"))
         spread.write.mode("overwrite").partitionBy("_bucket").parquet(self._folder(level, number))
 
     def put(self, rows: DataFrame, batch_id: int) -> None:

@@ -62,3 +62,17 @@ def test_both_catalog_versions_come_from_rows_that_are_written_once(spark, monke
     monkeypatch.setattr(q.c, "read_catalog", lambda *rest: (None, spark.range(1).selectExpr("id", "id AS canonical_product_id")))
     q.catalog_written(spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and seen[0] and not [f for f in seen[0] if "lineitem" in f]
+
+
+def test_raw_pointers_are_put_without_a_join(spark, tmp_path, monkeypatch):
+    from pricebook.plans.raw_index import RawPointers
+    from pricebook.schemas import KEY
+
+    rows = [(1, "a", "", 5, 0), (1, "a", "", 7, 0), (1, "b", "", 6, 0), (1, None, "", 8, 0)]
+    raw = spark.createDataFrame(rows, "merchant_id long, source_product_id string, source_variant_id string, id long, import_run_id long").withColumn("raw_json", F.lit("{}"))
+    pointers, plans = RawPointers(str(tmp_path), buckets=2, fan=2), []
+    put = pointers.state.put
+    monkeypatch.setattr(pointers.state, "put", lambda df, n: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(df, n)))
+    pointers.put(raw, 0)
+    assert "Join" not in plans[0] and "Aggregate" not in plans[0]
+    assert sorted(r["id"] for r in pointers.of(spark, raw.select(*KEY), 1).collect()) == [6, 7]
