@@ -124,9 +124,14 @@ def _owned(field: str):
     return F.array_contains(F.coalesce(F.col("operator_fields"), F.array().cast("array<string>")), field)
 
 
+def waiting(offers: DataFrame) -> DataFrame:
+    """The queue's offers that have no catalog product yet."""
+    return offers.where(F.col("visibility_status").isin(QUEUE) & F.col("canonical_product_id").isNull())
+
+
 def read_queue(offers: DataFrame, ingredients: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The queue's offers that have no catalog product yet, read for a match; stored values win over freshly read ones."""
-    queue = offers.where(F.col("visibility_status").isin(QUEUE) & F.col("canonical_product_id").isNull())
+    queue = waiting(offers)
     if ids is not None:
         queue = queue.join(ids.select("id").distinct(), "id", "left_semi")
     for c in ("description", "raw_attributes_json"):
@@ -192,7 +197,8 @@ def rematch(
 
 def rematch_for_keys(offers: DataFrame, keys: DataFrame, memory: DataFrame, canonicals: DataFrame, ingredients: DataFrame) -> DataFrame:
     """JOB-5: rematch only offers whose title key is among ``keys`` (a title_key column)."""
-    wanted = offers.withColumn("title_key", title_key(F.col("product_title"))).join(
+    # Only the titles of the queue are read: no other offer is matched again.
+    wanted = waiting(offers).select("id", title_key(F.col("product_title")).alias("title_key")).join(
         keys.select("title_key").where("title_key <> ''").distinct(), "title_key", "left_semi"
     )
     return rematch(offers, memory, canonicals, ingredients, ids=wanted.select("id"))

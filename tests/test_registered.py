@@ -76,3 +76,13 @@ def test_raw_pointers_are_put_without_a_join(spark, tmp_path, monkeypatch):
     pointers.put(raw, 0)
     assert "Join" not in plans[0] and "Aggregate" not in plans[0]
     assert sorted(r["id"] for r in pointers.of(spark, raw.select(*KEY), 1).collect()) == [6, 7]
+
+
+def test_rematch_for_keys_reads_only_the_titles_of_the_queue(spark, monkeypatch):
+    from pricebook.operators import memory
+
+    monkeypatch.setattr(memory, "rematch", lambda *tables, ids: ids)
+    rows = [(1, "Zinc", "pending", None), (2, "Zinc", "active", None), (3, "Zinc", "pending", 7), (4, "Iron", "pending", None)]
+    offers = spark.createDataFrame(rows, "id long, product_title string, visibility_status string, canonical_product_id long")
+    keys = spark.createDataFrame([("zinc",), ("",)], "title_key string")
+    assert [r["id"] for r in memory.rematch_for_keys(offers, keys, None, None, None).collect()] == [1]
