@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricebook.functions.costs import canonical_derived, reconcile_totals, seed_total
 from pricebook.operators import lifecycle as lc, validate as v
 from pricebook.plans import ingest as ing
+from pricebook.schemas import KEY
 from pricebook.session import materialize
 from pricebook.settings import site_settings as settings_of
 from pricebook.sources.feed import feed_metadata, union_feeds
@@ -328,11 +329,14 @@ UNION ALL SELECT 'ingredient', i.id, coalesce(o.n, 0), coalesce(k.n, 0), 0 FROM
 ON o.ingredient_id = i.id LEFT JOIN (SELECT ingredient_id, count(*) AS n FROM v_canonicals GROUP BY 1) k ON k.ingredient_id = i.id""",
 )
 def delete_impact(spark, sf):
-    d = Data(spark, sf)
-    t = {"offers": d.offers, "history": d.history, "raw": d.raw, "clicks": d.clicks, "canonicals": d.canonicals}
+    # Every table is counted several times: what the counts ask of it is written once.
+    history = materialize(Data(spark, sf).history.select("offer_id"), "history")
+    d = Data(spark, sf, keep=True)
+    offers = materialize(d.offers.select("id", *KEY, "canonical_product_id", "ingredient_id", "visibility_status"), "offers")
+    t = {"offers": offers, "history": history, "raw": d.raw, "clicks": materialize(d.clicks, "clicks"), "canonicals": d.canonicals}
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     m = lc.delete_impact("merchant", d.merchants, t).select(F.lit("merchant").alias("kind"), "id", "offers", "history_rows", "clicks")
-    o = lc.delete_impact("offer", d.offers.where("visibility_status = 'rejected'"), t).select(F.lit("offer").alias("kind"), "id", one.alias("offers"), "history_rows", "clicks")
+    o = lc.delete_impact("offer", offers.where("visibility_status = 'rejected'"), t).select(F.lit("offer").alias("kind"), "id", one.alias("offers"), "history_rows", "clicks")
     c = lc.delete_impact("canonical", d.canonicals, t).select(F.lit("canonical").alias("kind"), "id", "offers", zero.alias("history_rows"), "clicks")
     i = lc.delete_impact("ingredient", d.ingredients, t).select(F.lit("ingredient").alias("kind"), "id", "offers", F.col("canonicals").alias("history_rows"), zero.alias("clicks"))
     return m.unionByName(o).unionByName(c).unionByName(i)
