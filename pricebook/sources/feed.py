@@ -52,9 +52,10 @@ def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[
 
 def _numbered(df: DataFrame) -> DataFrame:
     """Add row_num per file, the header being row 1; blank lines are not counted."""
+    # One row per file is sent to the rows; dealt out by file, a file's rows would all go to one task again.
     firsts = df.groupBy("_file").agg(F.min("_row").alias("_first"))
     return (
-        df.join(firsts, "_file")
+        df.join(F.broadcast(firsts), "_file")
         .withColumn("row_num", (F.col("_row") - F.col("_first") + 2).cast("bigint"))
         .drop("_file", "_row", "_first")
     )

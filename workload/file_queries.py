@@ -18,9 +18,9 @@ from .ingest_queries import GOOD, good
 
 
 def csv_folder(df: DataFrame, purpose: str, most_rows: int = 250_000) -> str:
-    """The rows as a folder of CSV files of at most so many rows (a file is read by one task), every cell quoted and kept as it is."""
+    """The rows as a folder of packed CSV files of at most so many rows (a file is read by one task), every cell quoted and kept as it is."""
     path = shared_dir(df.sparkSession, purpose)
-    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"', "header": True, "maxRecordsPerFile": most_rows}
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"', "header": True, "maxRecordsPerFile": most_rows, "compression": "gzip"}
     df.write.options(**keep).csv(path)
     return path
 
