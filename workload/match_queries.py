@@ -396,7 +396,9 @@ def fill_totals(spark, sf):
     d = Data(spark, sf)
     rates = d.ingredients
     vials = materialize(vial_offers(d), "offers")
-    out = tot.fill_totals(vials, materialize(vial_raw(vials), "raw"), rates=rates)
+    out = tot.fill_totals(vials, vial_raw(vials), rates=rates)
+    # The suggestions are written, and the fill reads nothing else of the offers.
+    discard(vials)
     return out.select("id", F.col("total_active_per_container").alias("total"), F.col("strength_unit").alias("unit"), F.col("total_active_source").alias("source"))
 
 
@@ -409,7 +411,7 @@ def blend_repair(spark, sf):
     d = Data(spark, sf)
     # The titles name capsules, so no automatic total can stand.
     offers = materialize(d.costed.drop("standardization_default_pct", "elemental_percentage"), "offers", wide=True)
-    repaired, recheck = tot.blend_repair(offers, materialize(d.raw_of(offers), "raw"))
+    repaired, recheck = tot.blend_repair(offers, d.raw_of(offers))
     a = recheck.select(F.lit("recheck").alias("kind"), "id")
     return a.unionByName(repaired.where("total_active_per_container is null").select(F.lit("cleared").alias("kind"), "id"))
 
