@@ -113,3 +113,21 @@ def test_listings_of_small_files_are_not_sent_to_the_driver(spark, tmp_path):
     assert not any(listings_broadcast(out) for out in [few, many, *found])
     for out, column, one in [(few, "detected_ingredient_id", 1), (many, "detected_ingredient_id", 1)] + [(t, "canonical_product_id", 1) for t in found]:
         assert [tuple(r) for r in out.groupBy(column).count().collect()] == [(one, 100000)]
+
+
+def test_keys_of_many_listings_are_not_broadcast(spark, monkeypatch):
+    def plan(df) -> str:
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    few, many = m.dealt(spark.range(5), 5), m.dealt(spark.range(6), 5)
+    assert "BroadcastHashJoin" in plan(spark.range(9).join(few, "id")) and "SortMergeJoin" in plan(spark.range(9).join(many, "id"))
+
+    found = "found_ingredient_id long, found_form string, found_strength double, found_servings int, found_pct double"
+    read = spark.createDataFrame([(i, 1, "", "b", "s", "zinc", "zinc", 3, "capsule", 10.0, 60, None) for i in (1, 2)], f"id long, merchant_id long, barcode string, brand string, sku string, norm_title string, title_key string, {found}")
+    index = spark.createDataFrame([("sku", "b", "s", None, None, 7, 1)], "kind string, a string, b string, strength double, servings long, canonical_product_id long, peer long")
+    memory = spark.createDataFrame([], "merchant_id long, title_key string, canonical_product_id long")
+    catalog = spark.createDataFrame([(7, "active", 3, "capsule", 10.0, None)], "id long, status string, ingredient_id long, ingredient_form string, strength_per_serving double, standardization_percentage double")
+    for most, kind in ((2, "BroadcastHashJoin [tier"), (1, "SortMergeJoin [tier")):
+        monkeypatch.setattr(m, "MOST_PROBES", most)
+        hits = m.match_cascade(read, None, memory, catalog, index)
+        assert kind in plan(hits) and sorted(hits.select("id", "canonical_product_id", "tier").collect()) == [(1, 7, "brand_sku"), (2, 7, "brand_sku")]
